@@ -1,7 +1,9 @@
 """Queries and oracle SQL of the training-data operators."""
 
+from .language_id import op2_language_id
 from .repetition import op3_repetition
+from .segment_bpe import op7_bpe
 from .token_counts import op1_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_repetition)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_repetition, op7_bpe)}
 ORACLES: dict[str, str] = {}
