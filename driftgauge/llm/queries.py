@@ -1,9 +1,12 @@
 """Queries and oracle SQL of the training-data operators."""
 
 from .language_id import op2_language_id
+from .packing import op8_packing
 from .repetition import op3_repetition
 from .segment_bpe import op7_bpe
 from .token_counts import op1_token_counts
+from .warc import ORACLE_SQL as WARC_SQL
+from .warc import op5_warc
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_repetition, op7_bpe)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_repetition, op5_warc, op7_bpe, op8_packing)}
+ORACLES: dict[str, str] = {"op5_warc": WARC_SQL}
