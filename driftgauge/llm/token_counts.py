@@ -59,9 +59,9 @@ def token_counts(docs: DataFrame, cache: str, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     rows = rows.select("_id", "_text", F.unhex(F.sha2("_text", 256)).alias("content_digest"))
     known = read_cache(spark, cache, key)
-    misses = rows.select("content_digest", "_text").join(known.select("content_digest"), "content_digest", "left_anti")
-    distinct = misses.groupBy("content_digest").agg(F.first("_text").alias("_text"))
-    counted = distinct.mapInArrow(_encode(json_name, ranks_name), "content_digest binary, n_tokens long")
+    distinct = rows.groupBy("content_digest").agg(F.first("_text").alias("_text"))  # before the join, so that copies meet before the shuffle
+    misses = distinct.join(known.select("content_digest"), "content_digest", "left_anti")
+    counted = misses.mapInArrow(_encode(json_name, ranks_name), "content_digest binary, n_tokens long")
     counted.select("content_digest", F.lit(key).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache)
     keys = rows.select("_id", "content_digest", F.octet_length("_text").cast("long").alias("n_bytes"))
     return keys.join(read_cache(spark, cache, key), "content_digest").select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
