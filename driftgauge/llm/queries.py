@@ -4,9 +4,10 @@ from .language_id import op2_language_id
 from .packing import op8_packing
 from .repetition import op3_repetition
 from .segment_bpe import op7_bpe
+from .sketches import op4_fingerprints
 from .token_counts import op1_token_counts
 from .warc import ORACLE_SQL as WARC_SQL
 from .warc import op5_warc
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_repetition, op5_warc, op7_bpe, op8_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_repetition, op4_fingerprints, op5_warc, op7_bpe, op8_packing)}
 ORACLES: dict[str, str] = {"op5_warc": WARC_SQL}
