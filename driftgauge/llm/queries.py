@@ -1,13 +1,15 @@
 """Queries and oracle SQL of the training-data operators."""
 
 from .language_id import op2_language_id
+from .licences import op9_licences
 from .packing import op8_packing
 from .repetition import op3_repetition
+from .rule_quality import op6_quality
 from .segment_bpe import op7_bpe
 from .sketches import op4_fingerprints
 from .token_counts import op1_token_counts
 from .warc import ORACLE_SQL as WARC_SQL
 from .warc import op5_warc
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_repetition, op4_fingerprints, op5_warc, op7_bpe, op8_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_repetition, op4_fingerprints, op5_warc, op6_quality, op7_bpe, op8_packing, op9_licences)}
 ORACLES: dict[str, str] = {"op5_warc": WARC_SQL}
