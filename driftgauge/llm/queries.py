@@ -1,5 +1,6 @@
 """Queries and oracle SQL of the training-data operators."""
 
+from .jaccard_join import op10_jaccard
 from .language_id import op2_language_id
 from .licences import op9_licences
 from .packing import op8_packing
@@ -11,5 +12,5 @@ from .token_counts import op1_token_counts
 from .warc import ORACLE_SQL as WARC_SQL
 from .warc import op5_warc
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_repetition, op4_fingerprints, op5_warc, op6_quality, op7_bpe, op8_packing, op9_licences)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_repetition, op4_fingerprints, op5_warc, op6_quality, op7_bpe, op8_packing, op9_licences, op10_jaccard)}
 ORACLES: dict[str, str] = {"op5_warc": WARC_SQL}
