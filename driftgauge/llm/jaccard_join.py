@@ -139,14 +139,14 @@ def _star(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return key[first], node[first], pairs[:, 0], pairs[:, 1]
 
 
-def _map(words: int, percent: int, buckets: int, id_type: pa.DataType):
+def _map(words: int, percent: int, buckets: int):
     names = ["bucket", "edges", "blob", "id", "n", "digest", "text_key"]
 
-    def rows(bucket, edges, blob):
+    def rows(bucket, edges, blob, id_type):
         k = len(bucket)
         return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(edges, pa.bool_()), pa.array(blob, pa.binary()), pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())], names)
 
-    def send(key, node, turn):
+    def send(key, node, turn, id_type):
         key, node, a, b = _star(key, node)
         to = (key % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(to, kind="stable")
@@ -158,7 +158,7 @@ def _map(words: int, percent: int, buckets: int, id_type: pa.DataType):
         if len(a):
             out.append((turn % buckets, True, np.stack([a, b], 1).tobytes()))
         for i in range(0, len(out), 64):
-            yield rows(*zip(*out[i : i + 64]))
+            yield rows(*zip(*out[i : i + 64]), id_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts, turn = Cuts(percent), 0
@@ -166,6 +166,7 @@ def _map(words: int, percent: int, buckets: int, id_type: pa.DataType):
         nodes: list[np.ndarray] = []
         held, seen = 0, set()
         for b in batches:
+            id_type = b.schema.field(0).type
             ns, digests = [], []
             for text in b.column(1).to_pylist():
                 s = shingle_set(text, words)
@@ -179,7 +180,7 @@ def _map(words: int, percent: int, buckets: int, id_type: pa.DataType):
                     nodes.append(np.full(len(k), int.from_bytes(digest[:8], "big", signed=True), np.int64))
                     held += len(k)
                 if held >= HELD:
-                    yield from send(np.concatenate(keys), np.concatenate(nodes), turn)
+                    yield from send(np.concatenate(keys), np.concatenate(nodes), turn, id_type)
                     keys, nodes, held, turn = [], [], 0, turn + 1
                     seen = set()
             k = len(ns)
@@ -187,15 +188,15 @@ def _map(words: int, percent: int, buckets: int, id_type: pa.DataType):
             turn += k
             yield pa.RecordBatch.from_arrays([spread, pa.nulls(k, pa.bool_()), pa.nulls(k, pa.binary()), b.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), b.column(2)], names)
         if keys:
-            yield from send(np.concatenate(keys), np.concatenate(nodes), turn)
+            yield from send(np.concatenate(keys), np.concatenate(nodes), turn, id_type)
 
     return run
 
 
-def _reduce(id_type: pa.DataType):
+def _reduce():
     names = ["a", "b", "id", "n", "digest", "text_key"]
 
-    def edges(a, b):
+    def edges(a, b, id_type):
         for i in range(0, len(a), 10_000):
             x, y = a[i : i + 10_000], b[i : i + 10_000]
             k = len(x)
@@ -204,7 +205,7 @@ def _reduce(id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, node, held = [], [], 0
         for b in batches:
-            is_edges = b.column(1)
+            is_edges, id_type = b.column(1), b.schema.field(3).type
             feature = is_edges.is_null()
             if (f := b.filter(feature)).num_rows:
                 k = f.num_rows
@@ -214,18 +215,18 @@ def _reduce(id_type: pa.DataType):
                     continue
                 pairs = np.frombuffer(blob, np.int64).reshape(-1, 2)
                 if e:
-                    yield from edges(pairs[:, 0], pairs[:, 1])
+                    yield from edges(pairs[:, 0], pairs[:, 1], id_type)
                 else:
                     key.append(pairs[:, 0])
                     node.append(pairs[:, 1])
                     held += len(pairs)
                     if held >= 8 * HELD:  # equal keys become one entry again
                         k, n, x, y = _star(np.concatenate(key), np.concatenate(node))
-                        yield from edges(x, y)
+                        yield from edges(x, y, id_type)
                         key, node, held = [k], [n], 0
         if key:
             _, _, x, y = _star(np.concatenate(key), np.concatenate(node))
-            yield from edges(x, y)
+            yield from edges(x, y, id_type)
 
     return run
 
@@ -352,10 +353,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     texts = texts.withColumn("text_key", F.xxhash64("text"))
-    id_type = _arrow_type(texts.schema["id"].dataType)
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = texts.mapInArrow(_map(words, percent, buckets, id_type), f"bucket int, edges boolean, blob binary, id {kind}, n long, digest binary, text_key long")
-    both = materialise(sent.repartition("bucket").mapInArrow(_reduce(id_type), f"a long, b long, id {kind}, n long, digest binary, text_key long"), "jaccard-keys")
+    sent = texts.mapInArrow(_map(words, percent, buckets), f"bucket int, edges boolean, blob binary, id {kind}, n long, digest binary, text_key long")
+    both = materialise(sent.repartition("bucket").mapInArrow(_reduce(), f"a long, b long, id {kind}, n long, digest binary, text_key long"), "jaccard-keys")
     features = both.where("a IS NULL").select("id", "n", "digest", "text_key")
     classes = materialise(features.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("low"), F.count("*").alias("copies"), F.min("text_key").alias("text_key"), F.max("n").alias("n")), "jaccard-classes")
     blocks = components(both.where("a IS NOT NULL").select("a", "b"))
@@ -379,11 +379,5 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def _arrow_type(kind) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
-
-
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
