@@ -80,7 +80,7 @@ def revisions(spark, sf):
     return rounded(V.revisions(D.store(spark, sf)), "value", "previous_value", "revision")
 
 
-@query(_REV + "SELECT series, period, vintage, round(value, 9) AS value FROM top WHERE release_number BETWEEN 1 AND 1")
+@query(_REV + ", l AS (SELECT series, period, (list({'v': vintage, 'x': value} ORDER BY vintage))[2] AS r FROM rev GROUP BY 1, 2) SELECT series, period, r.v AS vintage, round(r.x, 9) AS value FROM l WHERE r IS NOT NULL")
 def nth_release(spark, sf):
     return rounded(V.nth_release(D.store(spark, sf), 1), "value")
 
