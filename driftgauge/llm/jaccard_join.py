@@ -236,8 +236,8 @@ def required(a: int, b: np.ndarray | int, percent: int):
     return -(-(percent * (a + b)) // (100 + percent))
 
 
-def search(sets: list[np.ndarray], side: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(query, its linked later sets). side: sets of one side aren't matched with each other if both sides occur."""
+def search(sets: list[np.ndarray], side: np.ndarray | None, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(query, its linked later sets). side, where given: sets of one side aren't matched with each other."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")  # small sets first: lists are sorted by size
@@ -250,8 +250,7 @@ def search(sets: list[np.ndarray], side: np.ndarray, percent: int) -> Iterator[t
     starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
     heads, bounds = tokens[starts], np.append(starts, len(tokens))
     lengths = np.diff(bounds)
-    ordered, two = sizes[order], len(set(side.tolist())) > 1
-    sides = side[order]
+    ordered, sides = sizes[order], None if side is None else side[order]
     for q in range(n):
         s = sets[order[q]]
         t = -(-percent * len(s) // 100)  # no linked set needs less: the union is this set at least
@@ -272,7 +271,7 @@ def search(sets: list[np.ndarray], side: np.ndarray, percent: int) -> Iterator[t
             counts = np.bincount(np.concatenate(parts), minlength=n)
         last = int(np.searchsorted(ordered, len(s) * 100 // percent, "right"))
         cand = np.flatnonzero(counts[q + 1 : last] >= t - long) + q + 1
-        if two:
+        if sides is not None:
             cand = cand[sides[cand] != sides[q]]
         left = long
         for x in lists[len(lists) - long :]:
@@ -293,10 +292,10 @@ def search(sets: list[np.ndarray], side: np.ndarray, percent: int) -> Iterator[t
 def _tile(percent: int):
     names = ["digest", "root", "links"]
 
-    def solve(rows: list[tuple[bytes, bytes, int, int]]) -> pa.RecordBatch:
+    def solve(rows: list[tuple[bytes, bytes, int, int]], cross: bool) -> pa.RecordBatch:
         digests = [r[0] for r in rows]
         sets = [np.frombuffer(r[1], np.uint64) for r in rows]
-        copies, side = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+        copies, side = np.array([r[2] for r in rows]), np.array([r[3] for r in rows]) if cross else None
         parent, links = list(range(len(rows))), np.zeros(len(rows), np.int64)
 
         def find(x: int) -> int:
@@ -321,13 +320,13 @@ def _tile(percent: int):
             for block, i, j, digest, s, copies, chunk in zip(*(c.to_pylist() for c in b.columns)):
                 if (block, i, j) != tile:
                     if len(rows) > 1:
-                        yield solve(rows)
+                        yield solve(rows, tile[1] != tile[2])
                     tile, rows, seen = (block, i, j), [], set()
                 if digest not in seen:
                     seen.add(digest)
-                    rows.append((digest, s, copies, chunk if i != j else 0))
+                    rows.append((digest, s, copies, chunk))
         if len(rows) > 1:
-            yield solve(rows)
+            yield solve(rows, tile[1] != tile[2])
 
     return run
 

@@ -191,13 +191,13 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 
 
 def scored(docs: DataFrame, model: RuleModel, text_col: str = "text") -> DataFrame:
-    """docs as they are, with ``_score`` as last column."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text_of(text_col).alias("_text"))
-    return with_statistics(rows, "_text").select("_row.*", model.column(F.col("_stats")).alias("_score"))
+    """(row, score): the input's row as a struct, so that no column name clashes, and its score."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_of(text_col).alias("_text"))
+    return with_statistics(rows, "_text").select("row", model.column(F.col("_stats")).alias("score"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = train(docs, labels.where(fold(F.col("doc_id"), 4) != 2))
     out = scored(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), (fold(F.col("row.doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -6,7 +6,7 @@ Edge cases are those of the operators; a stage on an empty table returns an empt
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jaccard_join, language_id, packing, rule_quality
@@ -18,16 +18,21 @@ LEAST_SHARE = 0.4
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """The row as a struct, so that no name of a further column clashes."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a language: texts without a letter, or without a leading language, go."""
-    found = docs.withColumn("_lang", language_id.language(docs, language_id.train(docs)))
-    return found.where((F.col("_lang.lang_pred") != "und") & (F.col("_lang.score") >= LEAST_SHARE)).select(*docs.columns)
+    found = docs.select(whole_row(docs), language_id.language(docs, language_id.train(docs)).alias("found"))
+    return found.where((F.col("found.lang_pred") != "und") & (F.col("found.score") >= LEAST_SHARE)).select("row.*")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier, fitted on labelled rows of this input, scores at its threshold or above."""
     model = rule_quality.train(docs, table(spark, sf_dir, "labels"))
-    return rule_quality.scored(docs, model).where(F.col("_score") >= rule_quality.THRESHOLD).select(*docs.columns)
+    return rule_quality.scored(docs, model).where(F.col("score") >= rule_quality.THRESHOLD).select("row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +41,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     A row is known by its id and its place in the input, which is written and so has
     the same places in both passes; rows without id come last in their group.
     """
-    placed = docs.withColumn("_place", F.monotonically_increasing_id())
-    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_place").alias("place")).alias("_key")
-    found = jaccard_join.jaccard_components(placed.select(key, "text"), "_key", "text", NEAR_WORDS, NEAR_PERCENT)
-    kept = found.where(F.col("component_id") == F.col("_key")).select(F.col("_key.place").alias("_place"))
-    return placed.join(kept, "_place", "left_semi").select(*docs.columns)
+    placed = docs.select(whole_row(docs), F.monotonically_increasing_id().alias("place"))
+    key = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("id"), "place").alias("key")
+    found = jaccard_join.jaccard_components(placed.select(key, F.col("row.text").alias("text")), "key", "text", NEAR_WORDS, NEAR_PERCENT)
+    kept = found.where(F.col("component_id") == F.col("key")).select(F.col("key.place").alias("place"))
+    return placed.join(kept, "place", "left_semi").select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
