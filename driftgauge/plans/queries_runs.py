@@ -271,3 +271,30 @@ def treatments(spark, sf):
         return pd.DataFrame({"treatment": [key], "nowcast": [float(estimate(np.array(treat(pdf[_COLS].to_numpy(float), window, key)), "em")[-1])]})
 
     return _per_block(_growth(spark, sf), ["none", "mask", "dummy", "outliers"], run, "treatment string, nowcast double")
+
+
+def _search_inputs(spark, sf):
+    sched = _scheduled_growth(spark, sf)
+    grid = V.vintage_grid(sched.agg(F.count("*").alias("n")), "1998-01-15", "1999-12-15", 6)
+    return sched, grid
+
+
+@query()
+def specification_search(spark, sf):
+    """A grid of specifications scored in pseudo real time, from a checkpoint where there is one."""
+    from ..operators.selection import ParameterSpace
+    from .experiments import search
+
+    sched, grid = _search_inputs(spark, sf)
+    specs = ParameterSpace(method=["ar", "rw", "mean"], lags=(1, 2)).grid()
+    return search(sched, D.TARGET, D.SERIES[1:], specs, grid, {"h1": 0.6, "h2": 0.4}, _shared(spark, "search"))
+
+
+@query()
+def nowcasts_without_groups(spark, sf):
+    """Nowcasts without groups of predictors, and their range."""
+    from .experiments import comparison, evaluate, without_groups
+
+    sched, grid = _search_inputs(spark, sf)
+    specs = without_groups({"slow": D.SERIES[3:], "fast": D.SERIES[1:3]}, {"method": "em"})
+    return comparison(evaluate(sched, D.TARGET, D.SERIES[1:], specs, grid))
