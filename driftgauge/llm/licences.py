@@ -166,3 +166,27 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan(table(spark, sf_dir, "documents"))
+
+
+def _canonical_sql(text: str) -> str:
+    """The list of canonical words in SQL."""
+    bare = f"regexp_replace(translate({text}, '{UPPER}', '{LOWER}'), '(?m)^{COPYRIGHT}', '', 'g')"
+    breaks = BREAKS.replace("\\s", " \\t\\n\\x0B\\f\\r").replace("'", "''")
+    return f"list_filter(regexp_split_to_array(replace({bare}, '-', ''), '{breaks}'), lambda x: x <> '')"
+
+
+def _digest_sql(words: str) -> str:
+    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SPELLINGS.items())
+    return f"sha256(array_to_string(list_transform({words}, lambda x: CASE x {cases} ELSE x END), ' '))"
+
+
+_TEXTS = ", ".join("('" + n + "', '" + t.replace("'", "''") + "')" for n, t in KNOWN)
+ORACLE_SQL = f"""
+WITH k0 AS (SELECT name, {_canonical_sql("text")} AS w FROM (VALUES {_TEXTS}) t(name, text)),
+k AS (SELECT {_digest_sql("w")} AS d, len(w) AS n, min(name) AS name FROM k0 GROUP BY 1, 2),
+t AS (SELECT doc_id, {_canonical_sql("coalesce(text, '')")} AS w FROM documents),
+l0 AS (SELECT doc_id, {_canonical_sql("line")} AS w FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
+l AS (SELECT doc_id, string_agg(DISTINCT k.name, ',' ORDER BY k.name) AS found FROM l0 JOIN k ON len(w) = n AND {_digest_sql("w")} = d GROUP BY 1),
+c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS canonical_words, CASE WHEN len(w) IN (SELECT n FROM k) THEN {_digest_sql("w")} END AS canonical_sha256 FROM t)
+SELECT c.doc_id, canonical_words, canonical_sha256, k.name AS licence, coalesce(l.found, '') AS line_licences FROM c LEFT JOIN k ON d = canonical_sha256 LEFT JOIN l USING (doc_id)
+"""

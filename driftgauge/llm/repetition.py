@@ -118,4 +118,30 @@ def repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op3_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition(table(spark, sf_dir, "documents"))
+    columns = "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    return repetition(table(spark, sf_dir, "documents")).select(*columns)
+
+
+def _length_sql(n: int) -> tuple[str, str]:
+    """Common table expressions that sum the characters and words inside repeated windows of n words."""
+    k = f"""k{n} AS (SELECT doc_id, i, word, CASE WHEN i <= n - {n - 1} THEN string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) END AS g FROM w),
+f{n} AS (SELECT doc_id, i, word, CASE WHEN g IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, g) > 1 THEN 1 ELSE 0 END AS twice FROM k{n}),
+c{n} AS (SELECT doc_id, word, max(twice) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS inside FROM f{n}),
+s{n} AS (SELECT doc_id, sum(CASE WHEN inside = 1 THEN length(word) ELSE 0 END) AS chars{n}, CAST(sum(inside) AS BIGINT) AS words{n} FROM c{n} GROUP BY 1)"""
+    return k, f"LEFT JOIN s{n} USING (doc_id)"
+
+
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM d),
+l AS (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1, 2),
+dup AS (SELECT doc_id, CAST(sum(n - 1) AS BIGINT) AS n_dup_lines, sum((n - 1) * length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS line_chars FROM l GROUP BY 1),
+{", ".join(_length_sql(n)[0] for n in LIMITS)},
+m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(words5, 0) AS n_repeat_words,
+  coalesce(line_chars, 0) AS line_chars, {", ".join(f"coalesce(chars{n}, 0) AS chars{n}" for n in LIMITS)}
+  FROM d LEFT JOIN dup USING (doc_id) {" ".join(_length_sql(n)[1] for n in LIMITS)})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR line_chars > CAST({LINE_LIMIT} AS DOUBLE) * word_chars OR {" OR ".join(f"chars{n} > CAST({v} AS DOUBLE) * word_chars" for n, v in LIMITS.items())}) AS kept
+FROM m
+"""
