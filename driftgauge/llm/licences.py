@@ -1,7 +1,7 @@
 """Operator 9, licence scans by canonical digest look-up; DataFrame functions only.
 
 A text is brought to a canonical form: lines that state a copyright are dropped,
-A-Z are lower-cased, hyphens vanish, other punctuation and white space separate
+letters are lower-cased, hyphens vanish, other punctuation and white space separate
 words, and words spelt in several ways get one spelling. Entire canonical texts are
 hash-joined by digest to those of known licences. A line that is by itself a known
 notice is looked up alike, as an entire text of its own.
@@ -118,7 +118,6 @@ SPELLINGS: dict[str, str] = {
     "whilst": "while",
     "wilful": "willful",
 }
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A line that begins, after marks of a comment, with a copyright statement.
 COPYRIGHT = r"[ \t>*#/;-]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
 BREAKS = r"[\s!\"#$%&'()*+,./:;<=>?@\[\\\]^_`{|}~“”‘’«»–—…•·©]+"
@@ -126,10 +125,16 @@ BREAKS = r"[\s!\"#$%&'()*+,./:;<=>?@\[\\\]^_`{|}~“”‘’«»–—…•·
 MAX_KNOWN = 10_000
 
 
-def _words(text: Column) -> Column:
-    lower = F.translate(text, UPPER, LOWER)
-    bare = F.when(F.regexp_like(lower, F.lit(r"copyright|\(c\)|©|all rights reserved")), F.regexp_replace(lower, "(?md)^" + COPYRIGHT, "")).otherwise(lower)
-    return F.filter(F.split(F.translate(bare, "-", ""), BREAKS), lambda w: w != F.lit(""))
+def _line_words(line: Column) -> Column:
+    """Canonical words of a line, before spellings; none if it states a copyright."""
+    lower = F.lower(line)
+    words = F.filter(F.split(F.replace(lower, F.lit("-"), F.lit("")), BREAKS), lambda w: w != F.lit(""))
+    return F.when(F.regexp_like(lower, F.lit("^" + COPYRIGHT)), F.array().cast("array<string>")).otherwise(words)
+
+
+def _lines(text: Column) -> Column:
+    """The words of each line."""
+    return F.transform(F.split(text, "\n"), _line_words)
 
 
 def _digest(words: Column) -> Column:
@@ -138,14 +143,14 @@ def _digest(words: Column) -> Column:
 
 
 def canonical_digest(text: Column) -> Column:
-    return _digest(_words(text))
+    return _digest(F.flatten(_lines(text)))
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> list[tuple[str, int, str]]:
     """(digest, words, name) of known texts, by the same columns as documents."""
     if len(known) > MAX_KNOWN:
         raise ValueError(f"{len(known)} known texts; at most {MAX_KNOWN} are broadcast")
-    rows = spark.createDataFrame(known, "name string, text string").select("name", _words(F.col("text")).alias("_w"))
+    rows = spark.createDataFrame(known, "name string, text string").select("name", F.flatten(_lines(F.col("text"))).alias("_w"))
     got = rows.select(_digest(F.col("_w")).alias("d"), F.size("_w").alias("n"), "name").groupBy("d", "n").agg(F.min("name").alias("name")).collect()
     return sorted((r["d"], r["n"], r["name"]) for r in got)
 
@@ -155,9 +160,8 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = known_digests(docs.sparkSession, known)
     counts = sorted({n for _, n, _ in found})
     names = F.create_map(*[F.lit(x) for d, _, name in found for x in (d, name)])
-    of_lines = F.filter(F.transform(F.split(F.col("_text"), "\n"), _words), lambda w: F.size(w).isin(counts))
-    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    rows = rows.select("_id", _words(F.col("_text")).alias("_w"), of_lines.alias("_lines"))
+    rows = docs.select(F.col(id_col).alias("_id"), _lines(text_of(text_col)).alias("_lines"))
+    rows = rows.select("_id", F.flatten("_lines").alias("_w"), F.filter("_lines", lambda w: F.size(w).isin(counts)).alias("_lines"))
     rows = rows.select("_id", F.size("_w").cast("long").alias("canonical_words"), F.when(F.size("_w").isin(counts), _digest(F.col("_w"))).alias("canonical_sha256"), F.array_sort(F.array_distinct(F.filter(F.transform("_lines", lambda w: F.element_at(names, _digest(w))), lambda x: x.isNotNull()))).alias("_found"))
     table_of = docs.sparkSession.createDataFrame([(d, name) for d, _, name in found], "canonical_sha256 string, licence string")
     joined = rows.join(F.broadcast(table_of), "canonical_sha256", "left")
@@ -170,7 +174,7 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _canonical_sql(text: str) -> str:
     """The list of canonical words in SQL."""
-    bare = f"regexp_replace(translate({text}, '{UPPER}', '{LOWER}'), '(?m)^{COPYRIGHT}', '', 'g')"
+    bare = f"regexp_replace(lower({text}), '(?m)^{COPYRIGHT}', '', 'g')"
     breaks = BREAKS.replace("\\s", " \\t\\n\\x0B\\f\\r").replace("'", "''")
     return f"list_filter(regexp_split_to_array(replace({bare}, '-', ''), '{breaks}'), lambda x: x <> '')"
 
