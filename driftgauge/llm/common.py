@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,6 +40,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and the table survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    # The shuffle files behind a written table are dead, but Spark deletes them only when the driver's JVM
+    # collects its garbage, which on a mostly idle driver may be after the disks are full.
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -10,10 +10,11 @@ word shingles. The join is exact and never emits the pairs of a group:
    agree on one whole segment at least. Sets of similar size share a cut; the sum of
    the hashes in a non-empty segment is a key. (A set with so many empty segments
    that only those might agree adds, for each of them, the segments of a second
-   cut.) Tasks combine equal keys before the shuffle and send the rest packed, so a
-   key that a third of all documents have is one entry for each task. Sets that
-   share a key are joined to the smallest of them; the components of those edges are
-   blocks, and every link lies inside a block.
+   cut.) Tasks send keys packed, and of a key's list a few entries each: the others
+   are known to be shared. A linked set shares at least so many of a set's keys, so
+   each set leaves out its longest lists but one of that number, as DivideSkip skips
+   long lists. Sets that share a list that is left are joined to the smallest of them.
+   The components of those edges are blocks, and every link lies inside a block.
 3. *Search.* The texts of blocks of two or more classes are fetched, once for each
    class. A block of more than ``TILE`` shingles is cut into chunks and searched by
    pairs of chunks, so a task's memory is bounded. In a tile, each set queries an
@@ -51,6 +52,8 @@ WORDS, PERCENT = 3, 90
 BAND = 1.5
 #: Shingles of a tile's chunk, and keys that a task holds before it sends them.
 TILE, HELD = 2_000_000, 1_000_000
+#: Entries of a key's list beyond one more than this are known to be shared where they are made, and skip its exchange.
+LONG = 1
 HEAP = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -89,33 +92,34 @@ class Cuts:
         """Shingles in which a set of this size and a linked one differ, at most."""
         return size * (100 - self.percent) // self.percent
 
-    def schemes(self, size: int) -> list[tuple[int, int]]:
-        """(band, segments) in which a set of this size has keys: its own band, and the one below if a linked set may be there."""
+    def schemes(self, size: int) -> list[tuple[int, int, int]]:
+        """(band, segments, differing shingles at most) in which a set of this size has keys: its own band, and the one below if a linked set may be there."""
         k = int(np.searchsorted(self.edges, size, "right")) - 1
         bands = [k, *([k - 1] if k and size * self.percent <= 100 * (self.edges[k] - 1) else [])]
         out = []
         for b in bands:
             d = self.differ(self.edges[b + 1] - 1)
             if d:
-                out.append((b, d + 2 + (d * max(0, 90 - self.percent)) // 160))
+                out.append((b, d + 2 + d * (90 - self.percent + 6) // 100, min(d, self.differ(size))))
         return out
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        own = self.differ(len(s))
-        if not own:
-            return np.zeros(0, np.uint64)  # it links with equal sets only
-        found = []
-        for band, m in self.schemes(len(s)):
+    def keys(self, s: np.ndarray) -> tuple[np.ndarray, int]:
+        """The set's keys, and how many of them at least any linked set shares (0 if that isn't sure)."""
+        found, need = [], 1 << 30
+        if not self.differ(len(s)):
+            return np.zeros(0, np.uint64), need  # it links with equal sets only
+        for band, m, d in self.schemes(len(s)):
             at, sums = _segments(s, m, 1)
             found.append(mix(sums + mix((at + np.uint64(band << 32)) * _BASE)))
-            if m - len(at) >= m - own:  # perhaps only empty segments agree
+            need = min(need, max(0, len(at) - d))  # m - d segments agree, and m - len(at) of them may be empty
+            if len(at) <= d:  # perhaps only empty segments agree
                 empty = np.setdiff1d(np.arange(m, dtype=np.uint64), at)
                 at2, sums2 = _segments(s, m, 2)
                 second = np.full(m, 7, np.uint64)
                 second[at2.astype(np.int64)] = sums2
                 second = mix(second + mix((np.arange(m, dtype=np.uint64) + np.uint64((band << 32) | 1 << 62)) * _BASE))
                 found.append(mix(second[None, :] + mix(empty + np.uint64(band << 32 | 1 << 61))[:, None]).ravel())
-        return np.concatenate(found) if found else np.zeros(0, np.uint64)
+        return np.concatenate(found) if found else np.zeros(0, np.uint64), need
 
 
 def _segments(s: np.ndarray, m: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,26 +132,31 @@ def _segments(s: np.ndarray, m: int, salt: int) -> tuple[np.ndarray, np.ndarray]
     return seg[starts], np.add.reduceat(mix(h ^ _BASE), starts)
 
 
-def _star(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One entry for each key with its smallest node, and the edges of its other nodes to that."""
+def _thin(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct entries by key, with their place in the key's list: up to LONG + 1 of each list, and the (node, key) of the rest."""
     order = np.lexsort((node, key))
     key, node = key[order], node[order]
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1]))) if len(key) else np.zeros(0, bool)
+    key, node = key[new], node[new]
     first = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
-    root = node[first][np.cumsum(first) - 1] if len(key) else node
-    other = root != node
-    pairs = np.unique(np.stack([node[other], root[other]], 1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-    return key[first], node[first], pairs[:, 0], pairs[:, 1]
+    starts = np.flatnonzero(first)
+    place = np.arange(len(key)) - np.repeat(starts, np.diff(np.append(starts, len(key))))
+    kept = place <= LONG
+    return key[kept], node[kept], place[kept], node[~kept], key[~kept].view(np.int64)
 
 
-def _map(words: int, percent: int, buckets: int):
-    names = ["bucket", "edges", "blob", "id", "n", "digest", "text_key"]
+_SENT = ["bucket", "long", "blob", "id", "n", "digest", "text_key", "node", "need"]
+_KEYS = ["kind", "a", "b", "id", "n", "digest", "text_key", "need"]
+
 
-    def rows(bucket, edges, blob, id_type):
+def _map(words: int, percent: int, buckets: int):
+    def rows(bucket, long, blob, id_type):
         k = len(bucket)
-        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(edges, pa.bool_()), pa.array(blob, pa.binary()), pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())], names)
+        null = [pa.nulls(k, t) for t in (id_type, pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(long, pa.bool_()), pa.array(blob, pa.binary()), *null], _SENT)
 
     def send(key, node, turn, id_type):
-        key, node, a, b = _star(key, node)
+        key, node, _, a, b = _thin(key, node)
         to = (key % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(to, kind="stable")
         packed = np.stack([key[order].view(np.int64), node[order]], 1)
@@ -155,8 +164,8 @@ def _map(words: int, percent: int, buckets: int):
         parts = np.split(packed, cuts) if len(packed) else []
         heads = to[order][np.concatenate(([0], cuts))] if len(packed) else []
         out = [(int(t), False, p.tobytes()) for t, p in zip(heads, parts)]
-        if len(a):
-            out.append((turn % buckets, True, np.stack([a, b], 1).tobytes()))
+        for i in range(0, len(a), 50_000):
+            out.append(((turn + i // 50_000) % buckets, True, np.stack([a[i : i + 50_000], b[i : i + 50_000]], 1).tobytes()))
         for i in range(0, len(out), 64):
             yield rows(*zip(*out[i : i + 64]), id_type)
 
@@ -164,29 +173,30 @@ def _map(words: int, percent: int, buckets: int):
         cuts, turn = Cuts(percent), 0
         keys: list[np.ndarray] = []
         nodes: list[np.ndarray] = []
-        held, seen = 0, set()
+        held, seen = 0, {}
         for b in batches:
             id_type = b.schema.field(0).type
-            ns, digests = [], []
+            ns, digests, own, needs = [], [], [], []
             for text in b.column(1).to_pylist():
                 s = shingle_set(text, words)
                 digest = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
+                node = None if digest is None else int.from_bytes(digest[:8], "big", signed=True)
                 ns.append(len(s))
                 digests.append(digest)
+                own.append(node)
                 if digest is not None and digest not in seen:
-                    seen.add(digest)
-                    k = cuts.keys(s)
+                    k, seen[digest] = cuts.keys(s)
                     keys.append(k)
-                    nodes.append(np.full(len(k), int.from_bytes(digest[:8], "big", signed=True), np.int64))
+                    nodes.append(np.full(len(k), node, np.int64))
                     held += len(k)
+                needs.append(None if digest is None else seen[digest])
                 if held >= HELD:
                     yield from send(np.concatenate(keys), np.concatenate(nodes), turn, id_type)
-                    keys, nodes, held, turn = [], [], 0, turn + 1
-                    seen = set()
+                    keys, nodes, held, turn, seen = [], [], 0, turn + 1, {}
             k = len(ns)
             spread = pa.array((np.arange(k) + turn) % buckets, pa.int32())
             turn += k
-            yield pa.RecordBatch.from_arrays([spread, pa.nulls(k, pa.bool_()), pa.nulls(k, pa.binary()), b.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), b.column(2)], names)
+            yield pa.RecordBatch.from_arrays([spread, pa.nulls(k, pa.bool_()), pa.nulls(k, pa.binary()), b.column(0), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), b.column(2), pa.array(own, pa.int64()), pa.array(needs, pa.int32())], _SENT)
         if keys:
             yield from send(np.concatenate(keys), np.concatenate(nodes), turn, id_type)
 
@@ -194,43 +204,63 @@ def _map(words: int, percent: int, buckets: int):
 
 
 def _reduce():
-    names = ["a", "b", "id", "n", "digest", "text_key"]
-
-    def edges(a, b, id_type):
+    def rows(kind, a, b, id_type):
         for i in range(0, len(a), 10_000):
             x, y = a[i : i + 10_000], b[i : i + 10_000]
             k = len(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())], names)
+            null = [pa.nulls(k, t) for t in (id_type, pa.int64(), pa.binary(), pa.int64(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * k, pa.int32()), pa.array(x, pa.int64()), pa.array(y, pa.int64()), *null], _KEYS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, node, held = [], [], 0
         for b in batches:
-            is_edges, id_type = b.column(1), b.schema.field(3).type
-            feature = is_edges.is_null()
-            if (f := b.filter(feature)).num_rows:
+            long, id_type = b.column(1), b.schema.field(3).type
+            if (f := b.filter(long.is_null())).num_rows:
                 k = f.num_rows
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), f.column(3), f.column(4), f.column(5), f.column(6)], names)
-            for e, blob in zip(is_edges.to_pylist(), b.column(2).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), f.column(7), pa.nulls(k, pa.int64()), *f.columns[3:7], f.column(8)], _KEYS)
+            for is_long, blob in zip(long.to_pylist(), b.column(2).to_pylist()):
                 if blob is None:
                     continue
                 pairs = np.frombuffer(blob, np.int64).reshape(-1, 2)
-                if e:
-                    yield from edges(pairs[:, 0], pairs[:, 1], id_type)
-                else:
-                    key.append(pairs[:, 0])
-                    node.append(pairs[:, 1])
-                    held += len(pairs)
-                    if held >= 8 * HELD:  # equal keys become one entry again
-                        k, n, x, y = _star(np.concatenate(key), np.concatenate(node))
-                        yield from edges(x, y, id_type)
-                        key, node, held = [k], [n], 0
+                if is_long:
+                    yield from rows(1, pairs[:, 0], pairs[:, 1], id_type)
+                    continue
+                key.append(pairs[:, 0].view(np.uint64))
+                node.append(pairs[:, 1])
+                held += len(pairs)
+                if held >= 8 * HELD:  # long lists are thinned
+                    k, n, _, x, y = _thin(np.concatenate(key), np.concatenate(node))
+                    yield from rows(1, x, y, id_type)
+                    key, node, held = [k], [n], len(k) // 2
         if key:
-            _, _, x, y = _star(np.concatenate(key), np.concatenate(node))
-            yield from edges(x, y, id_type)
+            k, n, place, x, y = _thin(np.concatenate(key), np.concatenate(node))
+            yield from rows(1, x, y, id_type)
+            starts = np.flatnonzero(place == 0)
+            sizes = np.diff(np.append(starts, len(k)))
+            at = np.repeat(sizes, sizes) > 1
+            yield from rows(1, n[at], k[at].view(np.int64), id_type)
 
     return run
 
 
+def block_edges(both: DataFrame) -> DataFrame:
+    """Edges (a, b) between sets whose links lie in one block, from the entries (a: set, b: key) of shared keys.
+
+    Any linked set shares at least ``need`` of a set's keys. So each set leaves out its need - 1 longest lists: in
+    the order of all keys by length, linked sets still share one. A passage that many documents share makes a few
+    long lists for each, which go first, and doesn't tie unlike documents together.
+    """
+    from pyspark.sql import Window
+
+    entries = both.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("key")).distinct()
+    length = entries.groupBy("key").agg(F.count("*").alias("length"))
+    need = both.where("kind = 0 AND a IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.min("need").alias("need"))
+    ranked = entries.join(length, "key").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.col("length").desc(), "key")))
+    kept = ranked.join(need, "node").where(F.col("place") >= F.col("need")).select("node", "key")
+    roots = kept.groupBy("key").agg(F.min("node").alias("root"))
+    return kept.join(roots, "key").where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
 def required(a: int, b: np.ndarray | int, percent: int):
     """Overlap that sets of these sizes need to link."""
     return -(-(percent * (a + b)) // (100 + percent))
@@ -353,11 +383,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     texts = texts.withColumn("text_key", F.xxhash64("text"))
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = texts.mapInArrow(_map(words, percent, buckets), f"bucket int, edges boolean, blob binary, id {kind}, n long, digest binary, text_key long")
-    both = materialise(sent.repartition("bucket").mapInArrow(_reduce(), f"a long, b long, id {kind}, n long, digest binary, text_key long"), "jaccard-keys")
-    features = both.where("a IS NULL").select("id", "n", "digest", "text_key")
+    sent = texts.mapInArrow(_map(words, percent, buckets), f"bucket int, long boolean, blob binary, id {kind}, n long, digest binary, text_key long, node long, need int")
+    both = materialise(sent.repartition("bucket").mapInArrow(_reduce(), f"kind int, a long, b long, id {kind}, n long, digest binary, text_key long, need int"), "jaccard-keys")
+    features = both.where("kind = 0").select("id", "n", "digest", "text_key")
     classes = materialise(features.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("low"), F.count("*").alias("copies"), F.min("text_key").alias("text_key"), F.max("n").alias("n")), "jaccard-classes")
-    blocks = components(both.where("a IS NOT NULL").select("a", "b"))
+    blocks = components(block_edges(both))
     node = F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("long")  # the digest's first eight bytes, signed
     active = classes.select("*", node.alias("node")).join(blocks, "node")
     sizes = active.groupBy("label").agg(F.sum("n").alias("total"))
