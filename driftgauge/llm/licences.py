@@ -1,7 +1,7 @@
 """Operator 9, licence scans by canonical digest look-up; DataFrame functions only.
 
-A text is brought to a canonical form: lines that state a copyright are dropped,
-letters are lower-cased, hyphens vanish, other punctuation and white space separate
+A text is brought to a canonical form: lines that state a copyright are dropped (a line
+of a hard-wrapped sentence that merely begins with the word is none), letters are lower-cased, hyphens vanish, other punctuation and white space separate
 words, and words spelt in several ways get one spelling. Entire canonical texts are
 hash-joined by digest to those of known licences. A line that is by itself a known
 notice is looked up alike, as an entire text of its own.
@@ -118,8 +118,13 @@ SPELLINGS: dict[str, str] = {
     "whilst": "while",
     "wilful": "willful",
 }
-#: A line that begins, after marks of a comment, with a copyright statement.
-COPYRIGHT = r"[ \t>*#/;-]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: Words after "copyright" in sentences of licences; lines that hard wraps let begin so state no copyright.
+_PROSE = r"(?:notices?|holders?|owners?|licen[cs]es?|laws?|statements?|interests?|protections?|permissions?|disclaimers?|rights?|treaty|treaties|and|or|in|on|to|of|is|are|as|for|that|which|this|these|may|shall|will|the[ \t]+(?:software|library|program|work)s?)\b"
+#: A line that states, after marks of a comment, a copyright: with the sign, (c), a year, a place for one, or a name.
+_STATED = r"copyright(?:[ \t:]*(?:\(c\)|©|\(?[12][0-9]{3}|[\[<{])|[ \t:]+(?!" + _PROSE + r")\p{L})"
+COPYRIGHT = r"[ \t>*#/;-]*(?:" + _STATED + r"|\(c\)[ \t]*(?:[12][0-9]{3}|©|[\[<{]|" + _STATED + r")|©|all rights reserved)[^\n]*"
+#: The oracle's own pattern: every line that begins so.
+SQL_COPYRIGHT = r"[ \t>*#/;-]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
 BREAKS = r"[\s!\"#$%&'()*+,./:;<=>?@\[\\\]^_`{|}~“”‘’«»–—…•·©]+"
 #: Known texts are broadcast; more than this many aren't.
 MAX_KNOWN = 10_000
@@ -174,7 +179,7 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _canonical_sql(text: str) -> str:
     """The list of canonical words in SQL."""
-    bare = f"regexp_replace(lower({text}), '(?m)^{COPYRIGHT}', '', 'g')"
+    bare = f"regexp_replace(lower({text}), '(?m)^{SQL_COPYRIGHT}', '', 'g')"
     breaks = BREAKS.replace("\\s", " \\t\\n\\x0B\\f\\r").replace("'", "''")
     return f"list_filter(regexp_split_to_array(replace({bare}, '-', ''), '{breaks}'), lambda x: x <> '')"
 

@@ -1,6 +1,8 @@
 """Operators on a small, messy table: nulls, empty and long texts, repeats, clashing columns; each against a plain version."""
 
 import hashlib
+import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -261,6 +263,21 @@ def test_licences(spark, docs, none):
     assert licences.licence_scan(docs).count() == len(TEXTS) and licences.licence_scan(none).count() == 0
 
 
+@pytest.mark.parametrize("width", [0, 30, 50, 68, 72, 76, 80])
+def test_licences_wrapped(spark, width):
+    """Wherever a line is broken, also before 'copyright', the licence is found; statements of a copyright still go."""
+    heads = ["Copyright (c) 2020 Some One", "Copyright Some One and contributors", "# Copyright: 1999, 2001 Some One\nAll rights reserved.", "(c) 2016 Some One", "© Some One", "Copyright [yyyy] [name of copyright owner]"]
+    breaks = [f"Copyright {w}" for w in ("notice", "HOLDERS", "holder", "owner")]
+    known = {n: t for n, t in reversed(licences.KNOWN[:7])}
+    rows = []
+    for name, text in known.items():
+        wrapped = "\n".join(textwrap.fill(x, width) if width else re.sub(r"(?i) (copyright )", r"\n\1", x) for x in text.split("\n"))
+        assert width or any(b.lower() in wrapped.lower() for b in breaks)
+        rows += [(f"{name} {k}", head + "\n\n" + wrapped) for k, head in enumerate(["", *heads])]
+    got = licences.licence_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {r.doc_id: r.licence for r in got} == {i: i.split()[0] for i, _ in rows}
+
+
 def plain_components(rows, words, percent):
     sets = []
     for _, t in rows:
