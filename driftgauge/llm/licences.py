@@ -6,8 +6,8 @@ words, and words spelt in several ways get one spelling. Entire canonical texts
 hash-joined by digest to those of known licences. A line that is by itself a known
 notice is looked up alike, as an entire text of its own.
 
-The known texts are a small fixed table (its size is checked before it is
-broadcast). Canonical forms keep the number of words, so the digest is only made
+The known texts are a fixed table, part of it files beside this module (its size is
+checked before it is broadcast). Canonical forms keep the number of words, so the digest is only made
 where the word count is one of a known text's: that skips no match. Nothing is
 shuffled and no document is joined by a key of its own, so hot groups don't matter.
 
@@ -19,6 +19,9 @@ independent; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +84,52 @@ KNOWN: list[tuple[str, str]] = [
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-2.0-only", "This work is licensed under the GNU General Public License, version 2."),
 ]
+#: Entire licence texts, a file each: NAME.txt, or NAME+b.txt for another wording of it.
+TEXTS = Path(__file__).parent / "licence_texts"
+_APPENDIX = re.compile(r"\n[ \t]*(?:APPENDIX: How to apply|(?:Appendix: )?How to Apply These Terms|ADDENDUM: How to use)", re.I)
+_END = re.compile(r"\n[ \t]*END OF TERMS AND CONDITIONS\s*$")
+_BSD_NAMES = {
+    "BSD-2-Clause": [*(t.format(2) for t in ("BSD {}-Clause License", "{}-Clause BSD License", "BSD-{}-Clause", "BSD-{}-Clause License", "License: BSD-{}-Clause")), 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "FreeBSD License", "BSD License"],
+    "BSD-3-Clause": [*(t.format(3) for t in ("BSD {}-Clause License", "{}-Clause BSD License", "BSD-{}-Clause", "BSD-{}-Clause License", "License: BSD-{}-Clause")), 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License", "Revised BSD License", "BSD License"],
+}
+#: Titles a text may be headed by; each also with "The" before it.
+TITLES: dict[str, list[str]] = {
+    "MIT": ["MIT License (MIT)", "MIT License", "MIT", "MIT License (Expat)", "License: MIT"],
+    "MIT-0": ["MIT No Attribution", "MIT No Attribution License", "MIT No Attribution (MIT-0)", "MIT-0"],
+    "ISC": ["ISC License", "ISC License (ISC)", "ISC", "License: ISC"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD Zero Clause License (0BSD)", "0BSD"],
+    "Zlib": ["zlib License", "zlib/libpng License", "zlib", "zlib License (Zlib)"],
+    **_BSD_NAMES,
+}
+
+
+def _bodies() -> list[tuple[str, str]]:
+    """Short licences in their usual wordings, without a title; list marks are numbers, letters or signs."""
+    first, condition, rest = _MIT.split("\n\n")
+    granted = _ISC.replace(", provided that the above copyright notice and this permission notice appear in all copies", "")
+    out = [("MIT", _MIT), ("MIT-0", first.replace(", subject to the following conditions:", ".") + "\n\n" + rest)]
+    out += [("ISC", _ISC), ("ISC", _ISC.replace("and/or", "and")), ("0BSD", granted)]
+    for marks in (r"\1.", "", r"(\1)"):
+        out.append(("Zlib", re.sub(r"(?m)^(\d)\.", marks, _ZLIB)))
+    for marks in ("123", "abc", ("", "", "")):
+        for name, text in (("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL), ("BSD-3-Clause", _BSD_HEAD + _BSD_THIRD + _BSD_TAIL)):
+            out.append((name, re.sub(r"(?m)^(\d)\.", lambda m, marks=marks: marks[int(m[1]) - 1], text)))
+    return out
+
+
+def further() -> list[tuple[str, str]]:
+    """What is known besides ``KNOWN``: entire texts, also without their appendix, and short licences with titles."""
+    out = []
+    for path in sorted(TEXTS.glob("*.txt")):
+        text, name = path.read_text("utf-8"), path.stem.partition("+")[0]
+        bare = _APPENDIX.split(text)[0]
+        out += [(name, t) for t in dict.fromkeys((text, bare, _END.sub("", bare)))]
+    for name, text in _bodies():
+        out.append((name, text))
+        out += [(name, f"{the}{title}\n\n{text}") for title in TITLES[name] for the in ("", "The ")]
+    return out
+
+
 #: Equivalent spellings, as canonical words.
 SPELLINGS: dict[str, str] = {
     "acknowledgement": "acknowledgment",
@@ -160,9 +209,15 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) ->
     return sorted((r["d"], r["n"], r["name"]) for r in got)
 
 
-def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """id, canonical_words, canonical_sha256 (where the word count is a known text's), licence of the entire text, line_licences (sorted names)."""
-    found = known_digests(docs.sparkSession, known)
+def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: list[tuple[str, str]] = KNOWN, more: list[tuple[str, str]] | None = None) -> DataFrame:
+    """id, canonical_words, canonical_sha256, licence of the entire text, line_licences (sorted names).
+
+    Texts and lines are looked up among ``known`` and ``more``, by default ``further()``.
+    The digest is given where the word count is that of a text in ``known`` and wherever
+    a licence is found; so ``more`` changes no row but those it knows.
+    """
+    found = known_digests(docs.sparkSession, known + (further() if more is None else more))
+    shown = sorted({n for _, n, _ in known_digests(docs.sparkSession, known)})
     counts = sorted({n for _, n, _ in found})
     names = F.create_map(*[F.lit(x) for d, _, name in found for x in (d, name)])
     rows = docs.select(F.col(id_col).alias("_id"), _lines(text_of(text_col)).alias("_lines"))
@@ -170,7 +225,8 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.select("_id", F.size("_w").cast("long").alias("canonical_words"), F.when(F.size("_w").isin(counts), _digest(F.col("_w"))).alias("canonical_sha256"), F.array_sort(F.array_distinct(F.filter(F.transform("_lines", lambda w: F.element_at(names, _digest(w))), lambda x: x.isNotNull()))).alias("_found"))
     table_of = docs.sparkSession.createDataFrame([(d, name) for d, _, name in found], "canonical_sha256 string, licence string")
     joined = rows.join(F.broadcast(table_of), "canonical_sha256", "left")
-    return joined.select(F.col("_id").alias(id_col), "canonical_words", "canonical_sha256", "licence", F.array_join("_found", ",").alias("line_licences"))
+    digest = F.when(F.col("canonical_words").isin(shown) | F.col("licence").isNotNull(), F.col("canonical_sha256")).alias("canonical_sha256")
+    return joined.select(F.col("_id").alias(id_col), "canonical_words", digest, "licence", F.array_join("_found", ",").alias("line_licences"))
 
 
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

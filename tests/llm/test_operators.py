@@ -278,6 +278,21 @@ def test_licences_wrapped(spark, width):
     assert {r.doc_id: r.licence for r in got} == {i: i.split()[0] for i, _ in rows}
 
 
+def test_licences_entire_texts(spark):
+    """Entire texts with and without appendix, and short licences under their titles."""
+    full = {p.stem: p.read_text("utf-8") for p in licences.TEXTS.glob("*.txt")}
+    rows = [(f"{name.partition('+')[0]} {name}", "Copyright 2021 Some One\n" + text.upper()) for name, text in full.items()]
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense", "BSL-1.0", "CC-BY-SA-4.0"} <= set(full)
+    rows += [("Apache-2.0 bare", full["Apache-2.0"].partition("END OF TERMS")[0]), ("GPL-2.0 bare", full["GPL-2.0"].partition("How to Apply")[0])]
+    bsd2, bsd3 = (t for n, t in licences.KNOWN if n.startswith("BSD"))
+    for title in ("BSD 3-Clause License", "New BSD License", "The 3-Clause BSD License"):
+        rows.append((f"BSD-3-Clause {title}", f"{title}\n\nCopyright (c) 2021, Some One\nAll rights reserved.\n\n{bsd3}"))
+    rows += [("BSD-2-Clause stars", "Simplified BSD License\n" + re.sub(r"(?m)^\d\.", "*", bsd2)), ("Zlib title", "zlib License\n" + licences.KNOWN[7][1]), ("MIT title", "(The MIT License)\n" + licences.KNOWN[0][1]), ("ISC title", "The ISC License\n" + licences.KNOWN[3][1])]
+    got = licences.licence_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {r.doc_id: r.licence for r in got} == {i: i.split()[0] for i, _ in rows}
+    assert all(r.canonical_sha256 for r in got)
+
+
 def plain_components(rows, words, percent):
     sets = []
     for _, t in rows:
