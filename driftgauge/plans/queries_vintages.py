@@ -67,7 +67,7 @@ def as_of_store(spark, sf):
 @query("""+ s AS (SELECT period, vintage, value FROM store WHERE series = '1-URGENT' AND period >= DATE '2000-01-01'), d AS (SELECT DISTINCT vintage FROM s)
 SELECT s.period, d.vintage, round(arg_max_null(s.value, s.vintage), 9) AS value FROM s JOIN d ON s.vintage <= d.vintage GROUP BY 1, 2""")
 def vintage_matrix(spark, sf):
-    return rounded(V.vintage_matrix(D.store(spark, sf).where("period >= DATE '2000-01-01'"), D.TARGET), "value").select("period", "vintage", "value")
+    return rounded(V.vintage_matrix(D.store(spark, sf), D.TARGET), "value").select("period", "vintage", "value")
 
 
 _REV = """+ ch AS (SELECT *, lag(value) OVER w AS before, row_number() OVER w AS k FROM store WINDOW w AS (PARTITION BY series, period ORDER BY vintage)),
