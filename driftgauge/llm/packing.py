@@ -9,14 +9,15 @@ largest first, and placed in supersteps, one for each size class:
 2. *Successor sweep.* The class is swept over the open gaps, sorted by size, from the
    smallest gap that is large enough.
 3. *Conflicts by rank.* Pieces that want the same gaps get them by rank: as many
-   as there are gaps of that size, the others go on to the next larger gap.
-4. *Update.* A filled gap is a smaller one in the next sweep; pieces that no gap
+   as gaps of that size hold, the others go on to the next larger gap. A gap that
+   holds several of a class is filled with them before the next is begun.
+4. *Update.* What is left of a gap is a smaller one in the next sweep; pieces that no gap
    holds open new sequences. Repeat with the next size.
 
 Sizes are whole numbers up to the capacity and pieces of one size are alike, so the
 sweep works on runs (gap, first sequence, number of sequences) rather than on single
-gaps: its state is bounded by the capacity (each class ends with at most one split
-run more), whatever the number of pieces. It is exactly best-fit decreasing. What the
+gaps: its state is bounded by the capacity (each class ends with at most two split
+runs more), whatever the number of pieces. It is exactly best-fit decreasing. What the
 sweeps match is a table of rank intervals; every piece finds its sequence in it by
 its size and rank, in one distributed pass. Token ids never leave the worker.
 
@@ -97,14 +98,17 @@ def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, in
                 continue
             gap = gaps[k]
             first, n = runs[gap].pop()
-            take = min(n, left)
+            # A gap that holds several is filled before the next one: it is the smallest as soon as it has a piece.
+            each = min(gap // size, left)
+            take = min(n, left // each)
             if take < n:
                 runs[gap].append((first + take, n - take))
             if not runs[gap]:
                 del runs[gap], gaps[k]
-            matched.append((size, rank, first, capacity - gap))
-            free(gap - size, first, take)
-            rank, left = rank + take, left - take
+            for _ in range(each):
+                matched.append((size, rank, first, capacity - gap))
+                gap, rank, left = gap - size, rank + take, left - take
+            free(gap, first, take)
     return matched
 
 

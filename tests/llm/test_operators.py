@@ -293,6 +293,37 @@ def test_licences_entire_texts(spark):
     assert all(r.canonical_sha256 for r in got)
 
 
+def plain_best_fit(counts, capacity):
+    """Sorted loads by best-fit decreasing, piece by piece."""
+    gaps = []
+    for size in sorted(counts, reverse=True):
+        for _ in range(counts[size]):
+            fit = min((g for g in gaps if g >= size), default=None)
+            if fit is None:
+                fit = capacity
+            else:
+                gaps.remove(fit)
+            gaps.append(fit - size)
+    return sorted(capacity - g for g in gaps)
+
+
+def test_sweep_is_best_fit_decreasing():
+    rng = np.random.default_rng(0)
+    tables = [{52: 6, 37: 5, 31: 8, 23: 7}, {20: 7}, {}]
+    for _ in range(3000):
+        sizes = rng.choice(np.arange(1, 101), int(rng.integers(1, 7)), replace=False)
+        tables.append({int(s): int(rng.integers(1, 13)) for s in sizes})
+    for counts in tables:
+        matched, loads, taken = packing.sweep(counts, 100), {}, {}
+        ends = {a[:2]: b[1] if b and b[0] == a[0] else counts[a[0]] for a, b in zip(matched, [*matched[1:], None])}
+        for size, rank, first, offset in matched:
+            for k in range(ends[size, rank] - rank):
+                assert loads.get(first + k, 0) == offset  # pieces neither overlap nor leave a gap between
+                loads[first + k] = offset + size
+                taken[size] = taken.get(size, 0) + 1
+        assert taken == counts and sorted(loads.values()) == plain_best_fit(counts, 100), counts
+
+
 def plain_components(rows, words, percent):
     sets = []
     for _, t in rows:
