@@ -58,6 +58,11 @@ class Model:
     p: np.ndarray  # slot x language
     prior: np.ndarray
 
+    @property
+    def learned(self) -> bool:
+        """Whether any trigram was counted."""
+        return bool(self.languages) and bool(np.ptp(self.p) > 0)
+
     def infer(self, text: str) -> tuple[str, float, list[str], list[float]]:
         s = slots(text) if self.languages else None
         if s is None:

@@ -24,14 +24,26 @@ def whole_row(docs: DataFrame) -> Column:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with a language: texts without a letter, or without a leading language, go."""
-    found = docs.select(whole_row(docs), language_id.language(docs, language_id.train(docs)).alias("found"))
+    """Rows with a language: texts without a letter, or without a leading language, go.
+
+    A model that learned nothing (no row has a lang, or none of those a letter) can't tell: all rows stay.
+    """
+    model = language_id.train(docs)
+    if not model.learned:
+        return docs
+    found = docs.select(whole_row(docs), language_id.language(docs, model).alias("found"))
     return found.where((F.col("found.lang_pred") != "und") & (F.col("found.score") >= LEAST_SHARE)).select("row.*")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the classifier, fitted on labelled rows of this input, scores at its threshold or above."""
+    """Rows that the classifier, fitted on labelled rows of this input, scores at its threshold or above.
+
+    A model that learned nothing (no label meets a row, or those of one class only, or
+    no rule tells the classes apart) gives every row one score: all rows stay.
+    """
     model = rule_quality.train(docs, table(spark, sf_dir, "labels"))
+    if not model.rules:
+        return docs
     return rule_quality.scored(docs, model).where(F.col("score") >= rule_quality.THRESHOLD).select("row.*")
 
 

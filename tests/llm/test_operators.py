@@ -324,6 +324,18 @@ def test_sweep_is_best_fit_decreasing():
         assert taken == counts and sorted(loads.values()) == plain_best_fit(counts, 100), counts
 
 
+def test_stages_that_learn_nothing_keep_their_input(spark, docs, tmp_path):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, rows in (("none", labels), ("other", spark.createDataFrame([(99, 1, 0)], labels.schema)), ("one", spark.createDataFrame([(1, 0, 0)], labels.schema))):
+        rows.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        assert stages.quality_stage(spark, docs, f"{tmp_path}/{name}").count() == len(TEXTS)
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = stages.language_stage(spark, bare, "")
+    assert kept.columns == bare.columns and kept.count() == len(TEXTS)
+    digits = docs.withColumn("lang", F.when(F.col("doc_id") == 8, F.col("lang")))
+    assert stages.language_stage(spark, digits, "").count() == len(TEXTS)
+
+
 def plain_components(rows, words, percent):
     sets = []
     for _, t in rows:
