@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,14 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (tests
-    on one machine) a new temporary folder is made and set.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset and the
+    master is local (tests on one machine) a new temporary folder is made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="driftgauge-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir() or found
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="driftgauge-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -36,15 +38,65 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_end(spark: SparkSession):
+    """Within it, the shuffle files of a job are deleted when the job has ended, not when the driver collects garbage."""
+    was = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if was is None else spark.conf.set(_CLEANUP, was)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and the table survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    # The shuffle files behind a written table are dead, but Spark deletes them only when the driver's JVM
-    # collects its garbage, which on a mostly idle driver may be after the disks are full.
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    with _shuffles_end(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "_scratch", None)
+        if path:
+            at = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: A key is hot where it holds this part of all rows, so at most as many keys are.
+HOT_PART = 10_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, n: str, total: int, spread: list[str], drop: tuple[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """Left join of ``left`` with ``right`` on ``key``, in which no task gets a hot key.
+
+    ``right`` has one row for each key, ``n`` of which says how many of the ``total``
+    rows of ``left`` have that key. Those of the hot keys, ``HOT_PART`` rows at most,
+    are broadcast. Rows of ``left`` that find theirs there go through the exchange of
+    the others under a salt from their ``spread`` columns, which matches nothing. Null
+    keys match nothing and are dealt likewise. The result has the columns of ``left``
+    and ``found``, the row of ``right`` as a struct or null. ``drop`` (name, condition
+    on ``found``) sets a column null before the exchange where the condition holds.
+    """
+    is_hot = F.col(n) * HOT_PART >= F.lit(total)
+    values = F.struct(*[F.col(f"`{c}`") for c in right.columns])
+    hot = right.where(is_hot).select(F.col(key).alias("_hot_key"), values.alias("_hot"))
+    cold = right.where(~is_hot).select(F.col(key).alias("_cold_key"), values.alias("_cold"), F.lit(-1).cast("long").alias("_cold_salt"))
+    rows = left.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    if drop is not None:
+        rows = rows.withColumn(drop[0], F.when(F.col("_hot").isNotNull() & drop[1](F.col("_hot")), F.lit(None)).otherwise(F.col(drop[0])))
+    dealt = F.col("_hot_key").isNotNull() | F.col(key).isNull()
+    rows = rows.withColumn("_salt", F.when(dealt, F.pmod(F.xxhash64(*spread), F.lit(1 << 20))).otherwise(F.lit(-1)).cast("long"))
+    joined = rows.join(cold, (F.col(key) == F.col("_cold_key")) & (F.col("_salt") == F.col("_cold_salt")), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in left.columns], F.coalesce("_hot", "_cold").alias("found"))
 
 
 def fold(key: Column, n: int) -> Column:
