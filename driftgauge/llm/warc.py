@@ -3,9 +3,10 @@
 *Writer.* Every page is a gzip member of its own. Of pages with equal payloads of at
 least ``dedup_bytes`` bytes, that with the largest id is written in full, the others
 as revisit records that refer to it. The digests of repeated payloads come from a
-grouped maximum with a map-side combine, and are joined to the pages; a payload that
-a third of all pages share is a hot key of that outer join, which adaptive execution
-splits. Each task writes files of its own under new names and returns them as rows;
+grouped maximum of digests with a map-side combine, and are joined to the pages. Of a
+payload that a third of all pages share, the digest is hot: its row is broadcast (ten
+thousand such rows at most), and its revisits drop their payload before the exchange,
+where a salt deals them over all tasks. Each task writes files of its own under new names and returns them as rows;
 the rows are committed as a manifest. A task that runs again after a lost executor
 writes new files, and files that the manifest doesn't name are never read.
 
@@ -22,7 +23,9 @@ group that has other ids; a repeated row (same id and payload) is written as oft
 it occurs; control characters in a url are percent-encoded, so it can't forge header
 lines. A payload that itself holds whole gzip members of WARC records, stored without
 compression, could be taken for records by a range that starts inside it; text can't
-hold the magic, so pages are safe.
+hold the magic, so pages are safe. An empty table makes no archive and gives no row;
+further columns, whatever their names, are ignored; of equal payloads under one largest
+id (ties), each row with that id is a response; a payload of any length is one record.
 """
 
 from __future__ import annotations
@@ -35,10 +38,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch, table, text_of
+from .common import materialise, scratch, spread_join, table, text_of
 
 MAGIC = b"\x1f\x8b\x08"
 DEDUP_BYTES = 1000
@@ -53,9 +56,15 @@ def plan_records(pages: DataFrame, dedup_bytes: int = DEDUP_BYTES) -> DataFrame:
     """page_id, url, payload (null for revisits), payload_bytes, payload_digest, refers_to."""
     rows = pages.select("page_id", "url", text_of("html").cast("binary").alias("payload"))
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.unhex(F.sha1("payload")).alias("_sha"))
-    repeated = rows.where(F.col("payload_bytes") >= dedup_bytes).groupBy("_sha").agg(F.max("page_id").alias("_keep"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    joined = rows.join(repeated, "_sha", "left")
-    refers = F.when(F.col("_keep").isNotNull() & ~F.col("_keep").eqNullSafe(F.col("page_id")), F.col("_keep"))
+    repeated = rows.where(F.col("payload_bytes") >= dedup_bytes).groupBy("_sha").agg(F.max("page_id").alias("_keep"), F.count("*").alias("_n"))
+    repeated = materialise(repeated.where("_n > 1"), "warc-repeated")
+
+    def revisits(found: Column) -> Column:
+        keep = found["_keep"]
+        return keep.isNotNull() & ~keep.eqNullSafe(F.col("page_id"))
+
+    joined = spread_join(rows, repeated, "_sha", "_n", pages.count(), ["page_id", "url"], drop=("payload", revisits))
+    refers = F.when(revisits(F.col("found")), F.col("found._keep"))
     return joined.select("page_id", "url", F.when(refers.isNull(), F.col("payload")).alias("payload"), "payload_bytes", F.lower(F.hex("_sha")).alias("payload_digest"), refers.alias("refers_to"))
 
 
