@@ -36,8 +36,11 @@ def path(name: str) -> str:
 
 
 def tokenizer_digest(file: str, version: str = "1") -> str:
-    """Digest of the tokenizer's file and of this encoder's version: a key of the cache."""
-    h = hashlib.sha256(version.encode())
+    """Digest of the tokenizer's file, of this encoder's version and of the libraries it uses: a key of the cache."""
+    import tiktoken
+    import tokenizers
+
+    h = hashlib.sha256(f"{version} tokenizers {tokenizers.__version__} tiktoken {tiktoken.__version__}".encode())
     with open(file, "rb") as f:
         h.update(f.read())
     return h.hexdigest()
