@@ -16,8 +16,10 @@ word shingles. The join is exact and never emits the pairs of a group:
    long lists. Sets that share a list that is left are joined to the smallest of them.
    The components of those edges are blocks, and every link lies inside a block.
 3. *Search.* The texts of blocks of two or more classes are fetched, once for each
-   class. A block of more than ``TILE`` shingles is cut into chunks and searched by
-   pairs of chunks, so a task's memory is bounded. In a tile, each set queries an
+   class, by a 128-bit key of the text; while there are at most ``FETCHED`` such keys they
+   are broadcast, so that no other text is shuffled. A block of more than ``TILE``
+   shingles is cut by size into chunks and searched by pairs of chunks, those of sizes
+   that can link only, so a task's memory is bounded. In a tile, each set queries an
    inverted index for the sets that reach the overlap T it needs: DivideSkip merges
    the short lists, keeps what may still reach T, and probes the long lists for those.
    A tile returns one row for each of its sets: a root within the tile and a number
@@ -29,7 +31,8 @@ than a heap's worth of entries, and by a heap below that.
 
 Edge cases: null, empty and wordless texts have an empty set and link with nothing,
 each its own component; with fewer words than a shingle the whole sequence is one;
-repeated rows are copies of each other; a null id counts as no id: a component's id
+repeated rows and ties are copies of each other; a text of any length is one set, a
+tile of its own where it exceeds ``TILE``; a null id counts as no id: a component's id
 is the smallest non-null one, or null; an empty table gives none; extra columns are
 ignored.
 """
@@ -42,19 +45,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table, text_of
+from .common import materialise, spread_join, table, text_of
 from .components import components
 
 WORDS, PERCENT = 3, 90
 BAND = 1.5
 #: Shingles of a tile's chunk, and keys that a task holds before it sends them.
-TILE, HELD = 2_000_000, 1_000_000
+TILE, HELD = 1_000_000, 1_000_000
 #: Entries of a key's list beyond one more than this are known to be shared where they are made, and skip its exchange.
 LONG = 1
+#: Entries of short lists that are merged by a heap; more are merged by counting.
 HEAP = 64
+#: Text keys, of sixteen bytes, that are broadcast at most.
+FETCHED = 500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -152,7 +158,7 @@ _KEYS = ["kind", "a", "b", "id", "n", "digest", "text_key", "need"]
 def _map(words: int, percent: int, buckets: int):
     def rows(bucket, long, blob, id_type):
         k = len(bucket)
-        null = [pa.nulls(k, t) for t in (id_type, pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32())]
+        null = [pa.nulls(k, t) for t in (id_type, pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32())]
         return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(long, pa.bool_()), pa.array(blob, pa.binary()), *null], _SENT)
 
     def send(key, node, turn, id_type):
@@ -190,7 +196,7 @@ def _map(words: int, percent: int, buckets: int):
                     nodes.append(np.full(len(k), node, np.int64))
                     held += len(k)
                 needs.append(None if digest is None else seen[digest])
-                if held >= HELD:
+                if held + len(seen) >= HELD:
                     yield from send(np.concatenate(keys), np.concatenate(nodes), turn, id_type)
                     keys, nodes, held, turn, seen = [], [], 0, turn + 1, {}
             k = len(ns)
@@ -208,17 +214,30 @@ def _reduce():
         for i in range(0, len(a), 10_000):
             x, y = a[i : i + 10_000], b[i : i + 10_000]
             k = len(x)
-            null = [pa.nulls(k, t) for t in (id_type, pa.int64(), pa.binary(), pa.int64(), pa.int32())]
+            null = [pa.nulls(k, t) for t in (id_type, pa.int64(), pa.binary(), pa.binary(), pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array([kind] * k, pa.int32()), pa.array(x, pa.int64()), pa.array(y, pa.int64()), *null], _KEYS)
 
+    def finish(key, node, id_type):
+        """The shared keys of a bucket."""
+        if key:
+            k, n, place, x, y = _thin(np.concatenate(key), np.concatenate(node))
+            yield from rows(1, x, y, id_type)
+            starts = np.flatnonzero(place == 0)
+            sizes = np.diff(np.append(starts, len(k)))
+            at = np.repeat(sizes, sizes) > 1
+            yield from rows(1, n[at], k[at].view(np.int64), id_type)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, node, held = [], [], 0
+        key, node, held, bucket, id_type = [], [], 0, None, None
         for b in batches:
             long, id_type = b.column(1), b.schema.field(3).type
             if (f := b.filter(long.is_null())).num_rows:
                 k = f.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), f.column(7), pa.nulls(k, pa.int64()), *f.columns[3:7], f.column(8)], _KEYS)
-            for is_long, blob in zip(long.to_pylist(), b.column(2).to_pylist()):
+            for at, is_long, blob in zip(b.column(0).to_pylist(), long.to_pylist(), b.column(2).to_pylist()):
+                if at != bucket:
+                    yield from finish(key, node, id_type)
+                    key, node, held, bucket = [], [], 0, at
                 if blob is None:
                     continue
                 pairs = np.frombuffer(blob, np.int64).reshape(-1, 2)
@@ -232,13 +251,7 @@ def _reduce():
                     k, n, _, x, y = _thin(np.concatenate(key), np.concatenate(node))
                     yield from rows(1, x, y, id_type)
                     key, node, held = [k], [n], len(k) // 2
-        if key:
-            k, n, place, x, y = _thin(np.concatenate(key), np.concatenate(node))
-            yield from rows(1, x, y, id_type)
-            starts = np.flatnonzero(place == 0)
-            sizes = np.diff(np.append(starts, len(k)))
-            at = np.repeat(sizes, sizes) > 1
-            yield from rows(1, n[at], k[at].view(np.int64), id_type)
+        yield from finish(key, node, id_type)
 
     return run
 
@@ -250,15 +263,45 @@ def block_edges(both: DataFrame) -> DataFrame:
     the order of all keys by length, linked sets still share one. A passage that many documents share makes a few
     long lists for each, which go first, and doesn't tie unlike documents together.
     """
-    from pyspark.sql import Window
-
-    entries = both.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("key")).distinct()
+    entries = materialise(both.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("key")).distinct(), "jaccard-entries")
+    total = entries.count()
     length = entries.groupBy("key").agg(F.count("*").alias("length"))
     need = both.where("kind = 0 AND a IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.min("need").alias("need"))
-    ranked = entries.join(length, "key").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.col("length").desc(), "key")))
-    kept = ranked.join(need, "node").where(F.col("place") >= F.col("need")).select("node", "key")
-    roots = kept.groupBy("key").agg(F.min("node").alias("root"))
-    return kept.join(roots, "key").where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    measured = spread_join(entries, length, "key", "length", total, ["node"]).select("node", "key", F.col("found.length").alias("length"))
+    ranked = measured.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.col("length").desc(), "key")))
+    kept = materialise(ranked.join(need, "node").where(F.col("place") >= F.col("need")).select("node", "key"), "jaccard-kept")
+    roots = kept.groupBy("key").agg(F.min("node").alias("root"), F.count("*").alias("length"))
+    out = spread_join(kept, roots, "key", "length", total, ["node"]).where("node <> found.root").select(F.col("node").alias("a"), F.col("found.root").alias("b"))
+    return out
+
+
+def with_tiles(active: DataFrame, percent: int) -> DataFrame:
+    """``active`` (digest, n, block and more) with ``chunk`` and ``tiles``, the pairs (i, j) of chunks of its block in which a set is searched.
+
+    A block of at most ``TILE`` shingles is one tile. A larger one is cut by size; sets of one size that exceed a
+    chunk are dealt by their digest. Chunks are in order of size, so those that can link to one are neighbours of it.
+    """
+    rows = active.count()
+    totals = materialise(active.groupBy("block").agg(F.sum("n").alias("total"), F.count("*").alias("rows")), "jaccard-blocks")
+    sized = spread_join(active, totals, "block", "rows", rows, ["digest"]).select("*", F.col("found.total").alias("total")).drop("found")
+    one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+    small = sized.where(F.col("total") <= TILE).drop("total").select("*", F.lit(0).alias("chunk"), one.alias("tiles"))
+    large = sized.where(F.col("total") > TILE).drop("total").withColumn("size", F.struct("block", "n"))
+    held = large.groupBy("size").agg(F.sum("n").alias("held"), F.count("*").alias("rows"))
+    before = F.coalesce(F.sum("held").over(Window.partitionBy("size.block").orderBy("size.n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = materialise(held.withColumn("before", before), "jaccard-sizes")
+    part = F.pmod(F.xxhash64("digest"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    cut = spread_join(large, held, "size", "rows", rows, ["digest"])
+    cut = cut.withColumn("chunk", F.floor((F.col("found.before") + part * F.col("found.held")) / TILE).cast("int")).drop("found", "size")
+    chunks = materialise(cut.groupBy("block", "chunk").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count("*").alias("rows")), "jaccard-chunks")
+    x, y = chunks.alias("x"), chunks.alias("y")
+    meet = (F.col("x.block") == F.col("y.block")) & (F.col("x.chunk") <= F.col("y.chunk")) & (F.col("y.low") * percent <= F.col("x.high") * 100)
+    pairs = x.join(y, meet).select(F.col("x.block").alias("block"), F.struct(F.col("x.chunk").alias("i"), F.col("y.chunk").alias("j")).alias("tile"))
+    ends = pairs.select("block", "tile", F.explode(F.array_distinct(F.array("tile.i", "tile.j"))).alias("chunk"))
+    tiles = ends.groupBy("block", "chunk").agg(F.collect_list("tile").alias("tiles")).join(chunks, ["block", "chunk"])
+    tiles = materialise(tiles.select(F.struct("block", "chunk").alias("part"), "tiles", "rows"), "jaccard-tiles")
+    found = spread_join(cut.withColumn("part", F.struct("block", "chunk")), tiles, "part", "rows", rows, ["digest"])
+    return small.unionByName(found.select(*small.columns[:-1], F.col("found.tiles").alias("tiles")))
 
 
 def required(a: int, b: np.ndarray | int, percent: int):
@@ -371,7 +414,7 @@ def _sets(words: int):
                     at.append(row)
                     sets.append(s.tobytes())
             kept = b.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns[1:], pa.array(sets, pa.binary())], ["digest", "block", "chunks", "copies", "set"])
+            yield pa.RecordBatch.from_arrays([*kept.columns[1:], pa.array(sets, pa.binary())], ["digest", "block", "chunk", "tiles", "copies", "set"])
 
     return run
 
@@ -380,32 +423,32 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """id, n_shingles, component_id, n_links of every row. The id may be of any orderable type."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    texts = texts.withColumn("text_key", F.xxhash64("text"))
+    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("text_key", F.unhex(F.md5("text")))
     buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent = texts.mapInArrow(_map(words, percent, buckets), f"bucket int, long boolean, blob binary, id {kind}, n long, digest binary, text_key long, node long, need int")
-    both = materialise(sent.repartition("bucket").mapInArrow(_reduce(), f"kind int, a long, b long, id {kind}, n long, digest binary, text_key long, need int"), "jaccard-keys")
+    sent = texts.mapInArrow(_map(words, percent, buckets), f"bucket int, long boolean, blob binary, id {kind}, n long, digest binary, text_key binary, node long, need int")
+    both = materialise(sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_reduce(), f"kind int, a long, b long, id {kind}, n long, digest binary, text_key binary, need int"), "jaccard-keys")
     features = both.where("kind = 0").select("id", "n", "digest", "text_key")
+    total = features.count()
     classes = materialise(features.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("low"), F.count("*").alias("copies"), F.min("text_key").alias("text_key"), F.max("n").alias("n")), "jaccard-classes")
-    blocks = components(block_edges(both))
     node = F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("long")  # the digest's first eight bytes, signed
-    active = classes.select("*", node.alias("node")).join(blocks, "node")
-    sizes = active.groupBy("label").agg(F.sum("n").alias("total"))
-    active = active.join(sizes, "label").select("text_key", "digest", F.col("label").alias("block"), F.ceil(F.col("total") / TILE).cast("int").alias("chunks"), "copies")
-    once = texts.groupBy("text_key").agg(F.first("text").alias("text"))
-    sets = once.join(active, "text_key").select("text", "digest", "block", "chunks", "copies").mapInArrow(_sets(words), "digest binary, block long, chunks int, copies long, set binary")
-    sets = sets.withColumn("chunk", F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    tiles = sets.select("*", other).select("block", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "digest", "set", "copies", "chunk")
+    blocks = components(block_edges(both))
+    active = materialise(classes.select("digest", "text_key", "n", "copies", node.alias("node")).join(blocks, "node").select("digest", "text_key", "n", "copies", F.col("label").alias("block")), "jaccard-active")
+    wanted = active.select("text_key").distinct()
+    fetched = texts.join(F.broadcast(wanted), "text_key", "left_semi") if active.count() <= FETCHED else texts
+    once = fetched.groupBy("text_key").agg(F.first("text").alias("text"))
+    sets = once.join(with_tiles(active, percent), "text_key").select("text", "digest", "block", "chunk", "tiles", "copies")
+    sets = sets.mapInArrow(_sets(words), "digest binary, block long, chunk int, tiles array<struct<i:int,j:int>>, copies long, set binary")
+    tiles = sets.withColumn("tile", F.explode("tiles")).select("block", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"), "digest", "set", "copies", "chunk")
     solved = materialise(tiles.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j").mapInArrow(_tile(percent), "digest binary, root binary, links long"), "jaccard-links")
     merged = components(solved.select(F.col("digest").alias("a"), F.col("root").alias("b")))
     links = solved.groupBy("digest").agg(F.sum("links").alias("links"))
     linked = classes.join(merged, F.col("digest") == F.col("node"), "left").select("digest", "low", "copies", F.coalesce("label", "digest").alias("label"))
-    lowest = linked.groupBy("label").agg(F.min("low").alias("component"))
-    known = linked.join(lowest, "label").join(links, "digest", "left").select("digest", "component", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = features.join(known, "digest", "left")
+    lowest = linked.groupBy("label").agg(F.min("low").alias("component"), F.count("*").alias("rows"))
+    named = spread_join(linked, lowest, "label", "rows", total, ["digest"]).select("digest", "copies", F.col("found.component").alias("component"))
+    known = materialise(named.join(links, "digest", "left").select("digest", "copies", "component", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "jaccard-known")
+    out = spread_join(features, known, "digest", "copies", total, ["id"]).select("id", "n", "digest", F.col("found.component").alias("component_id"), F.col("found.n_links").alias("n_links"))
     alone = F.col("digest").isNull()
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

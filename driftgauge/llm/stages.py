@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jaccard_join, language_id, packing, rule_quality
-from .common import table
+from .common import materialise, table
 
 #: A text whose leading language has a smaller share has no language of its own.
 LEAST_SHARE = 0.4
@@ -50,10 +50,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked texts, that with the smallest id; texts without words stay.
 
-    A row is known by its id and its place in the input, which is written and so has
-    the same places in both passes; rows without id come last in their group.
+    A row is known by its id and its place, which is written with the row first: so both
+    passes read the same places, whatever ``docs`` is. Rows without id come last in their group.
     """
-    placed = docs.select(whole_row(docs), F.monotonically_increasing_id().alias("place"))
+    placed = materialise(docs.select(whole_row(docs), F.monotonically_increasing_id().alias("place")), "placed")
     key = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("id"), "place").alias("key")
     found = jaccard_join.jaccard_components(placed.select(key, F.col("row.text").alias("text")), "key", "text", NEAR_WORDS, NEAR_PERCENT)
     kept = found.where(F.col("component_id") == F.col("key")).select(F.col("key.place").alias("place"))
