@@ -89,7 +89,7 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, n: str, total: int,
     is_hot = F.col(n) * HOT_PART >= F.lit(total)
     values = F.struct(*[F.col(f"`{c}`") for c in right.columns])
     hot = right.where(is_hot).select(F.col(key).alias("_hot_key"), values.alias("_hot"))
-    cold = right.where(~is_hot).select(F.col(key).alias("_cold_key"), values.alias("_cold"), F.lit(-1).cast("long").alias("_cold_salt"))
+    cold = right.where(~is_hot).select(F.col(key).alias("_cold_key"), values.alias("_cold"), F.when(F.col(n) >= 0, F.lit(-1)).cast("long").alias("_cold_salt"))  # no literal: the optimiser would take it out of the keys of the exchange
     rows = left.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
     if drop is not None:
         rows = rows.withColumn(drop[0], F.when(F.col("_hot").isNotNull() & drop[1](F.col("_hot")), F.lit(None)).otherwise(F.col(drop[0])))
