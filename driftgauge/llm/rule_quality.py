@@ -6,14 +6,16 @@ rule, a conjunction of comparisons; logistic regression with a lasso penalty giv
 most rules no weight. The others are compiled into one Spark column expression, so
 scoring is a projection without Python, shuffle or state.
 
-The sample has ``per_class`` rows of each label on average, chosen by a hash of the
-id; it is the only thing broadcast or collected, and its bound is that parameter.
+The sample has ``per_class`` ids of each label on average, chosen by a hash of the
+id; it is the only thing broadcast or collected, and its bound is that parameter, for
+an id counts once for each label, however often ``labels`` or ``docs`` repeat it.
 
 Edge cases: null and empty texts have all statistics 0 and get a score like any
-other; labels other than 0 and 1, or null, aren't learned from; without labels, or
-with labels of one class only, every score is the smoothed share of label 1; repeated
-labels weigh as often as they occur; extra columns, also of the statistics' names,
-are kept apart.
+other; labels other than 0 and 1, or null, and null ids aren't learned from; without
+labels, or with labels of one class only, every score is the smoothed share of label 1;
+of rows with one id the smallest statistics are learned from; a text of any length is
+measured whole; an empty table gives none; extra columns, also of the statistics'
+names, are kept apart.
 """
 
 from __future__ import annotations
@@ -178,13 +180,13 @@ def fit(x: np.ndarray, y: np.ndarray) -> RuleModel:
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> RuleModel:
     """Fit on a bounded sample of the labelled rows."""
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull())
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & F.col("_id").isNotNull()).distinct()
     totals = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     place = F.pmod(F.xxhash64(F.lit("quality sample"), "_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     share = F.when(F.col("_y") == 1, min(1.0, per_class / max(1, totals.get(1, 1)))).otherwise(min(1.0, per_class / max(1, totals.get(0, 1))))
     sample = known.where(place < share)
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(sample), "_id")
-    got = with_statistics(rows.drop("_id"), "_text").toPandas()
+    got = with_statistics(rows, "_text").groupBy("_id", "_y").agg(F.min("_stats").alias("_stats")).toPandas()
     x = np.array(got["_stats"].tolist(), float).reshape(len(got), len(NAMES))
     order = np.lexsort((*x.T, got["_y"].to_numpy())) if len(got) else np.arange(0)  # the fit doesn't depend on the order of rows
     return fit(x[order], got["_y"].to_numpy(float)[order])
