@@ -113,7 +113,8 @@ def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, in
 
 
 def best_fit(items: DataFrame, key_cols: list[str], size_col: str = "length", capacity: int = CAPACITY) -> DataFrame:
-    """``items`` with sequence_id and offset. Sizes are 1 to capacity; the key columns place a row in a bucket and order it there."""
+    """``items`` with sequence_id and offset. Sizes are 1 to capacity; the key columns, which identify a row, place it in a bucket and order it there."""
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = items.groupBy(F.col(size_col).alias("size")).agg(F.count("*").alias("n")).collect()  # at most `capacity` rows
     total = sum(r["n"] for r in sizes)
     plan = sweep({r["size"]: r["n"] for r in sizes}, capacity)
@@ -132,7 +133,7 @@ def best_fit(items: DataFrame, key_cols: list[str], size_col: str = "length", ca
             at = np.searchsorted(starts, size.to_numpy(zero_copy_only=False) * shift + r, "right") - 1
             yield pa.StructArray.from_arrays([pa.array(first[at] + r), pa.array(offset[at])], ["sequence_id", "offset"])
 
-    buckets = max(1, -(-total // BUCKET_ROWS))
+    buckets = max(tasks, -(-total // BUCKET_ROWS))
     rows = items.withColumn("_bucket", F.pmod(F.xxhash64(*key_cols), F.lit(buckets)))
     before = Window.partitionBy(size_col).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy(size_col, "_bucket").agg(F.count("*").alias("_n")).select(size_col, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -142,9 +143,14 @@ def best_fit(items: DataFrame, key_cols: list[str], size_col: str = "length", ca
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of all documents with their places. The pieces are written to the shared folder first: texts are encoded once."""
-    cut_up = materialise(pieces(docs, id_col, text_col, capacity), "pieces")
-    return best_fit(cut_up, [id_col, "piece", "ids_crc32"], "length", capacity)
+    """Pieces of all documents with their places. The pieces are written to the shared folder first: texts are encoded once.
+
+    Each is written with a number of its own, which tells repeated rows apart and deals them over the buckets.
+    """
+    cut_up = pieces(docs, id_col, text_col, capacity)
+    names = cut_up.columns
+    cut_up = materialise(cut_up.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    return best_fit(cut_up, [id_col, "piece", "ids_crc32", "_row"], "length", capacity).select(*names, "sequence_id", "offset")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
