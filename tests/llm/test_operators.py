@@ -368,7 +368,7 @@ def test_jaccard(spark, words, percent, tile, monkeypatch):
         monkeypatch.setattr(jaccard_join, "TILE", tile)
         monkeypatch.setattr(jaccard_join, "HELD", 500)
     rng = np.random.default_rng(words)
-    rows = [(i, t) for i, t, _ in TEXTS if i != 11]
+    rows = [(i, t) for i, t, _ in TEXTS] + [(90, " ".join(f"w{k}" for k in range(6000))), (91, " ".join(f"w{k}" for k in range(5990)))]
     for k in range(12):
         base = [f"w{v}" for v in rng.integers(0, 500, int(rng.integers(3, 150)))]
         for j in range(8):
