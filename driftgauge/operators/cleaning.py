@@ -66,13 +66,19 @@ def fill_edges(panel: DataFrame, window: int = 3, method: str = "median", ragged
     return p.withColumn("value", v).select(panel.columns)
 
 
-def fill_nearest_median(panel: DataFrame, window: int = 3, widest: int = 25) -> DataFrame:
-    """Interior gaps by the median of a centred window, widened by two until it holds a value (``widest`` at most)."""
-    seen = F.max(F.when(F.col("value").isNotNull(), F.col("period"))).over(whole())
-    p = panel.withColumn("_l", seen).withColumn("_f", F.min(F.when(F.col("value").isNotNull(), F.col("period"))).over(whole()))
-    new = F.coalesce(*[F.percentile("value", 0.5).over(around(w)) for w in range(window, widest + 1, 2)])
-    p = p.withColumn("_new", new)
-    inside = (F.col("period") > F.col("_f")) & (F.col("period") < F.col("_l"))
+def fill_nearest_median(panel: DataFrame, window: int = 3) -> DataFrame:
+    """Interior gaps by the median of a centred window, widened by two until it holds a value.
+
+    A window that had to be widened holds just the values that the last step reached: the nearer one of those before
+    and after the gap or, where they are as near, their mean. So every gap is filled, whatever its length.
+    """
+    seen = F.when(F.col("value").isNotNull(), F.struct("_i", "value"))
+    p = panel.withColumn("_i", F.row_number().over(by()))
+    p = p.withColumn("_a", F.last(seen, True).over(by().rowsBetween(Window.unboundedPreceding, 0))).withColumn("_b", F.first(seen, True).over(by().rowsBetween(0, Window.unboundedFollowing)))
+    left, right = F.col("_i") - F.col("_a._i") - window // 2, F.col("_b._i") - F.col("_i") - (window - 1) // 2
+    near = F.when(left < right, F.col("_a.value")).when(left > right, F.col("_b.value")).otherwise((F.col("_a.value") + F.col("_b.value")) / 2)
+    p = p.withColumn("_new", F.coalesce(F.percentile("value", 0.5).over(around(window)), near))
+    inside = F.col("_a").isNotNull() & F.col("_b").isNotNull()
     return p.withColumn("value", F.coalesce("value", F.when(inside, F.col("_new")))).select(panel.columns)
 
 

@@ -32,7 +32,7 @@ def zscores(panel: DataFrame, rolling: int | None = None) -> DataFrame:
 
 
 def group_means(z: DataFrame, groups: DataFrame) -> DataFrame:
-    return z.join(F.broadcast(groups), "series").groupBy("label", "period").agg(F.avg("z").alias("z"))
+    return z.join(groups, "series").groupBy("label", "period").agg(F.avg("z").alias("z"))
 
 
 def autocorrelation(panel: DataFrame, lags: int) -> DataFrame:

@@ -82,13 +82,15 @@ def loss_differentials(table: DataFrame, model: str, reference: str, loss: str =
     return p.select("horizon", *TARGET, d.alias("d"))
 
 
-def long_run_variance(d: DataFrame, h: str = "horizon") -> DataFrame:
-    """Per horizon: n, mean, and the long-run variance up to lag horizon - 1; Bartlett weights where the rectangular sum isn't positive."""
-    w = Window.partitionBy("horizon").orderBy(*TARGET)
-    p = d.withColumn("_m", F.avg("d").over(Window.partitionBy("horizon"))).withColumn("c", F.col("d") - F.col("_m"))
-    lags = F.array(*[F.struct(F.lit(k).alias("k"), (F.col("c") * F.lag("c", k).over(w)).alias("x")) for k in range(0, 13)])
-    rows = p.withColumn("_x", lags).select("horizon", "d", F.explode("_x").alias("_x")).where(F.col("_x.k") < F.greatest(F.col("horizon"), F.lit(1)))
-    g = rows.groupBy("horizon", F.col("_x.k").alias("k")).agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.sum("_x.x").alias("s")).withColumn("g", F.col("s") / F.col("n"))
+def long_run_variance(d: DataFrame) -> DataFrame:
+    """Per horizon: n, mean, and the long-run variance with all lags below the horizon; Bartlett weights where the rectangular sum isn't positive."""
+    whole, w = Window.partitionBy("horizon"), Window.partitionBy("horizon").orderBy(*TARGET)
+    p = d.select("horizon", F.row_number().over(w).alias("i"), (F.col("d") - F.avg("d").over(whole)).alias("c"), F.count("*").over(whole).alias("n"), F.avg("d").over(whole).alias("mean"))
+    lags = F.explode(F.sequence(F.lit(0), F.least(F.greatest(F.col("horizon"), F.lit(1)), F.col("n")).cast("int") - 1)).alias("k")
+    x = p.select("horizon", "n", "mean", "c", "i", lags).withColumn("j", F.col("i") - F.col("k"))
+    y = p.select(F.col("horizon").alias("_h"), F.col("i").alias("_j"), F.col("c").alias("_c"))
+    rows = x.join(y, (F.col("horizon") == F.col("_h")) & (F.col("j") == F.col("_j")))
+    g = rows.groupBy("horizon", "k", "n", "mean").agg((F.sum(F.col("c") * F.col("_c"))).alias("s")).withColumn("g", F.col("s") / F.col("n"))
     rect = F.sum(F.when(F.col("k") == 0, F.col("g")).otherwise(2 * F.col("g")))
     bart = F.sum(F.when(F.col("k") == 0, F.col("g")).otherwise(2 * (1 - F.col("k") / F.greatest(F.col("horizon"), F.lit(1))) * F.col("g")))
     return g.groupBy("horizon").agg(F.max("n").alias("n"), F.max("mean").alias("mean"), F.when(rect > 0, rect).otherwise(bart).alias("lrv"))
@@ -136,7 +138,7 @@ def pesaran_timmermann(table: DataFrame) -> DataFrame:
     star = py * px + (1 - py) * (1 - px)
     v = star * (1 - star) / n
     vs = ((2 * py - 1) ** 2 * px * (1 - px) + (2 * px - 1) ** 2 * py * (1 - py)) / n + 4 * py * px * (1 - py) * (1 - px) / (n * n)
-    stat = F.when(v - vs > 0, (F.col("hit_rate") - star) / F.sqrt(v - vs))
+    stat = F.when(v - vs > 1e-12 * v, (F.col("hit_rate") - star) / F.sqrt(v - vs))  # a smaller difference is rounding
     return g.select("model", "horizon", "n", "hit_rate", star.alias("expected"), stat.alias("statistic"), normal_upper(stat).alias("p_value"))
 
 
@@ -169,8 +171,8 @@ def model_confidence_set(losses: DataFrame, models: list[str], alpha: float = 0.
         return pd.DataFrame({"model": list(out), "p_value": list(out.values()), "included": [v >= alpha for v in out.values()]})
 
     rows = losses.withColumn("_o", F.struct(*TARGET)).select(F.date_format("vintage", "yyyyMMdd").alias("_v"), F.date_format("period", "yyyyMMdd").alias("_p"), *models)
-    rows = rows.select(F.concat("_v", "_p").alias("_o"), *models).withColumn("_all", F.length("_o"))
-    return rows.groupBy("_all").applyInPandas(run, "model string, p_value double, included boolean")
+    rows = rows.select(F.concat("_v", "_p").alias("_o"), *models)
+    return rows.groupBy(F.lit(1).alias("_all")).applyInPandas(run, "model string, p_value double, included boolean")
 
 
 def loss_table(table: DataFrame, models: list[str], loss: str = "squared") -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from ..functions.calendar import growth_weights
-from .statespace import StateSpace, companion, smooth, stationary_cov
+from .statespace import StateSpace, companion, smooth, smoothed_moments, stationary_cov
 
 
 def principal_components(x: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,11 +93,12 @@ def two_step(x: np.ndarray, r: int = 2, p: int = 1, q: int | None = None, floor:
     return TwoStep(mean, std, L, model, a[:, :r])
 
 
-def em_dfm(x: np.ndarray, r: int = 1, p: int = 1, quarterly: np.ndarray | None = None, rounds: int = 30, tolerance: float = 1e-4) -> tuple[StateSpace, np.ndarray, list[float], np.ndarray, np.ndarray]:
+def em_dfm(x: np.ndarray, r: int = 1, p: int = 1, quarterly: np.ndarray | None = None, rounds: int = 500, tolerance: float = 1e-4) -> tuple[StateSpace, np.ndarray, list[float], np.ndarray, np.ndarray]:
     """Maximum likelihood by expectation-maximisation for panels with any missing cells.
 
     Quarterly growth series load on a triangular weighted sum of five monthly factors.
-    Returns the model, smoothed states, the log-likelihood path, means and deviations.
+    Returns the model, its smoothed states, the log-likelihood path, means and deviations; iteration ends when the
+    log-likelihood moves by less than ``tolerance``, or after ``rounds`` updates.
     """
     z, mean, std = standardised(x)
     n_t, n = z.shape
@@ -130,12 +131,12 @@ def em_dfm(x: np.ndarray, r: int = 1, p: int = 1, quarterly: np.ndarray | None =
         H[i] = max((z[ok, i] - g @ load[i]).var(), 1e-4)
     model = StateSpace(wide(load), T, Q, H, np.zeros(r * lags), stationary_cov(T, Q + 1e-6 * np.eye(len(Q))))
     path: list[float] = []
-    a = np.zeros((n_t, r * lags))
-    for _ in range(rounds):
-        a, P, lag, out = smooth(model, z)
+    while True:
+        out = smoothed_moments(model, z)
+        a, P, lag = out.a, out.P, out.lag
         path.append(out.loglik)
-        if len(path) > 1 and abs(path[-1] - path[-2]) / ((abs(path[-1]) + abs(path[-2])) / 2 + 1e-12) < tolerance:
-            break
+        if len(path) > rounds or len(path) > 1 and abs(path[-1] - path[-2]) / ((abs(path[-1]) + abs(path[-2])) / 2 + 1e-12) < tolerance:
+            return model, a, path, mean, std
         S11 = (a[1:, :r].T @ a[1:, :r]) + P[1:, :r, :r].sum(0)
         S10 = (a[1:, :r].T @ a[:-1, : r * p]) + lag[1:, :r, : r * p].sum(0)
         S00 = (a[:-1, : r * p].T @ a[:-1, : r * p]) + P[:-1, : r * p, : r * p].sum(0)
@@ -159,7 +160,6 @@ def em_dfm(x: np.ndarray, r: int = 1, p: int = 1, quarterly: np.ndarray | None =
             e = z[ok, i] - g @ load[i]
             H[i] = max((e @ e + load[i] @ V @ load[i]) / ok.sum(), 1e-4)
         model = StateSpace(wide(load), T, Q, H, a[0], P[0])
-    return model, a, path, mean, std
 
 
 def news(model: StateSpace, old: np.ndarray, new: np.ndarray, t: int, i: int) -> dict:

@@ -8,11 +8,27 @@ periods with all series.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar as C
 
+def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of the plan itself: the optimiser knows its size, and so by itself whether to broadcast it."""
+
+    def value(v) -> str:
+        if v is None:
+            return "NULL"
+        if isinstance(v, str):
+            return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return f"DATE '{v}'" if hasattr(v, "isoformat") else repr(v)
+
+    text = ", ".join(f"({', '.join(map(value, r))})" for r in rows)
+    names = [c.split()[0] for c in schema.split(",")]
+    table = spark.sql(f"SELECT * FROM VALUES {text} AS t({', '.join(names)})")
+    return table.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in schema.split(",")])
+
+
 def by():
     """Rows of a series in order."""
     return Window.partitionBy("series").orderBy("period")
@@ -32,7 +48,7 @@ def regularise(obs: DataFrame, freq: str = "M") -> DataFrame:
     """All series on one contiguous grid, null where nothing was observed; repeated periods are refused by ``check``."""
     span = obs.agg(F.min("period").alias("_lo"), F.max("period").alias("_hi"))
     step = {"D": "interval 1 day", "W": "interval 7 days", "M": "interval 1 month", "Q": "interval 3 months", "A": "interval 12 months"}[freq]
-    grid = obs.select("series").distinct().join(F.broadcast(span)).select("series", F.explode(F.expr(f"sequence(_lo, _hi, {step})")).alias("period"))
+    grid = obs.select("series").distinct().crossJoin(span).select("series", F.explode(F.expr(f"sequence(_lo, _hi, {step})")).alias("period"))
     return grid.join(obs, ["series", "period"], "left")
 
 
@@ -151,11 +167,11 @@ def released_share(panel: DataFrame, native: Column, groups: DataFrame, delays:
     p = panel.where("slot").withColumn("native", native)
     seen = F.col("value").isNotNull()
     if as_of is not None and delays is not None:
-        p = p.join(F.broadcast(delays), "series")
+        p = p.join(delays, "series")
         seen = seen & (F.date_add(C.end_of(F.col("period"), "M"), F.col("delay")) <= F.lit(as_of).cast("date"))
     per = p.groupBy("native", "series").agg(F.sum(seen.cast("long")).alias("released"), F.count("*").alias("expected"))
     sums = [F.sum("released").alias("released"), F.sum("expected").alias("expected"), F.avg(F.col("released") / F.col("expected")).alias("share")]
-    labelled = per.join(F.broadcast(groups), "series").groupBy("native", "label").agg(*sums)
+    labelled = per.join(groups, "series").groupBy("native", "label").agg(*sums)
     return labelled.union(per.groupBy("native").agg(*sums).select("native", F.lit("total"), "released", "expected", "share"))
 
 

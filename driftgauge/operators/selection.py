@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 def sis(panel: DataFrame, target: str) -> DataFrame:
     """Predictors by absolute correlation with the target over common periods."""
     y = panel.where(F.col("series") == target).select("period", F.col("value").alias("y"))
-    j = panel.where(F.col("series") != target).join(F.broadcast(y), "period").where(F.col("value").isNotNull() & F.col("y").isNotNull())
+    j = panel.where(F.col("series") != target).join(y, "period").where(F.col("value").isNotNull() & F.col("y").isNotNull())
     g = j.groupBy("series").agg(F.corr("value", "y").alias("correlation"), F.count("*").alias("n"))
     return g.withColumn("rank", F.row_number().over(Window.orderBy(F.abs("correlation").desc(), "series")).cast("long"))
 

@@ -152,3 +152,118 @@ def weights_on(model: StateSpace, y: np.ndarray, t: int, z: np.ndarray) -> tuple
     for c, (i, j) in enumerate(cells):
         full[i, j] = w[c]
     return float(w[k]), full
+
+
+@dataclass
+class Moments:
+    """Smoothed means, covariances and lag-one covariances Cov(a_t, a_{t-1}), and the log-likelihood."""
+
+    a: np.ndarray
+    P: np.ndarray
+    lag: np.ndarray
+    loglik: float
+
+    def second(self) -> np.ndarray:
+        """E[a_t a_t'] of every period."""
+        return self.a[:, :, None] * self.a[:, None, :] + self.P
+
+
+def smoothed_moments(model: StateSpace, y: np.ndarray, obs_var: np.ndarray | None = None) -> Moments:
+    """The smoother with the observations of a period collapsed to the state's dimension.
+
+    A period costs (series x states) for its sums and (states cubed) for the rest, whatever the number of series. No
+    predicted covariance is inverted, so states that are known exactly do no harm. ``obs_var`` (time x series)
+    takes the place of the model's measurement variances.
+    """
+    n_t, m = len(y), len(model.a0)
+    seen = ~np.isnan(y)
+    eye, T = np.eye(m), model.T
+    a, P = model.a0.astype(float), model.P0.astype(float)
+    ap, pp, keep, pull, info = np.zeros((n_t, m)), np.zeros((n_t, m, m)), np.zeros((n_t, m, m)), np.zeros((n_t, m)), np.zeros((n_t, m, m))
+    shared: dict[bytes, np.ndarray] = {}
+    loglik = 0.0
+    for t in range(n_t):
+        ok = seen[t]
+        Z, h = model.z(t)[ok], (model.H if obs_var is None else obs_var[t])[ok]
+        W = Z.T / h
+        mark = ok.tobytes()
+        C = shared.get(mark) if model.Z.ndim == 2 and obs_var is None else None
+        if C is None:
+            C = W @ Z
+            if model.Z.ndim == 2 and obs_var is None:
+                shared[mark] = C
+        v = y[t, ok] - Z @ a
+        u = W @ v
+        solve = eye + P @ C
+        M = np.linalg.inv(solve)
+        Pf = M @ P
+        Pf = (Pf + Pf.T) / 2
+        loglik -= 0.5 * (ok.sum() * LOG_2PI + np.log(h).sum() + np.linalg.slogdet(solve)[1] + v @ (v / h) - u @ Pf @ u)
+        ap[t], pp[t], keep[t], pull[t], info[t] = a, P, M, u, C
+        a = T @ (a + Pf @ u)
+        P = T @ Pf @ T.T + model.Q
+    out, cov, lag = np.zeros((n_t, m)), np.zeros((n_t, m, m)), np.zeros((n_t, m, m))
+    r, N = np.zeros(m), np.zeros((m, m))
+    for t in range(n_t - 1, -1, -1):
+        M = keep[t]
+        if t < n_t - 1:
+            lag[t + 1] = (eye - pp[t + 1] @ N) @ T @ M @ pp[t]
+        r = M.T @ (pull[t] + T.T @ r)
+        TM = T @ M
+        N = M.T @ info[t] + TM.T @ N @ TM
+        N = (N + N.T) / 2
+        out[t] = ap[t] + pp[t] @ r
+        cov[t] = pp[t] - pp[t] @ N @ pp[t]
+    return Moments(out, cov, lag, float(loglik))
+
+
+def signal_mean(model: StateSpace, a: np.ndarray) -> np.ndarray:
+    """Z_t a_t of every period and series."""
+    return a @ model.Z.T if model.Z.ndim == 2 else np.einsum("tnm,tm->tn", model.Z, a)
+
+
+def signal_variance(model: StateSpace, P: np.ndarray) -> np.ndarray:
+    """The diagonal of Z_t P_t Z_t'."""
+    return np.einsum("nm,tmk,nk->tn", model.Z, P, model.Z) if model.Z.ndim == 2 else np.einsum("tnm,tmk,tnk->tn", model.Z, P, model.Z)
+
+
+def diffuse_cov(T: np.ndarray, Q: np.ndarray, kappa: float = 1e6, states: str = "nonstationary") -> np.ndarray:
+    """An initial covariance with kappa for all states, or for those of blocks with a root on or outside the unit circle; the stationary one for the rest."""
+    if states == "all":
+        return kappa * np.eye(len(T))
+    from .structured import companion_blocks
+
+    P = np.zeros_like(T, dtype=float)
+    for i, size in companion_blocks(T):
+        at = slice(i, i + size)
+        block = T[at, at]
+        stable = np.abs(np.linalg.eigvals(block)).max() < 1 - 1e-8
+        P[at, at] = stationary_cov(block, Q[at, at]) if stable else kappa * np.eye(size)
+    return P
+
+
+def random_state_space(n: int, m: int, rng: np.random.Generator, radius: float = 0.9) -> StateSpace:
+    """A random stable model for tests."""
+    T = rng.standard_normal((m, m))
+    T *= radius / np.abs(np.linalg.eigvals(T)).max()
+    half = rng.standard_normal((m, m)) / np.sqrt(m)
+    Q = half @ half.T + 0.1 * np.eye(m)
+    return StateSpace(rng.standard_normal((n, m)), T, Q, rng.uniform(0.2, 1.0, n), np.zeros(m), stationary_cov(T, Q))
+
+
+def random_missing(y: np.ndarray, share: float, rng: np.random.Generator) -> np.ndarray:
+    """A copy with each cell missing by chance."""
+    return np.where(rng.random(y.shape) < share, np.nan, y)
+
+
+def prepare_observations(model: StateSpace, y) -> np.ndarray:
+    """Observations as a float array that fits the model; None is missing."""
+    y = np.asarray(y, float)
+    y = y[:, None] if y.ndim == 1 else y
+    if y.ndim != 2 or y.shape[1] != len(model.H):
+        raise ValueError(f"observations of {len(model.H)} series expected, got an array of shape {y.shape}")
+    if model.Z.ndim == 3 and len(model.Z) < len(y):
+        raise ValueError(f"the design has {len(model.Z)} periods, the observations {len(y)}")
+    if np.isinf(y).any():
+        raise ValueError("observations are finite or missing")
+    return y

@@ -19,7 +19,7 @@ def schedule(panel: DataFrame, delays: DataFrame, explicit: DataFrame | None = N
     """Adds ``release_date`` to every slot: an explicit date (series, period, date) or the period's end plus the delay (series, delay)."""
     p = panel.where("slot") if "slot" in panel.columns else panel
     p = p.where(F.col("value").isNotNull()) if observed_only else p
-    p = p.join(F.broadcast(delays), "series", "left")
+    p = p.join(delays, "series", "left")
     rule = F.date_add(C.end_of(F.col("period"), freq), F.col("delay"))
     if explicit is not None:
         p = p.join(explicit.withColumnRenamed("date", "_date"), CELL, "left")
@@ -49,15 +49,23 @@ def vintage_grid(dates: DataFrame, start: str, end: str, step: int = 1) -> DataF
     return dates.select(F.explode(F.sequence(F.lit(0), n)).alias("k")).select(F.add_months(F.lit(start).cast("date"), F.col("k") * step).alias("vintage"))
 
 
+def at_dates(rows: DataFrame, dates: DataFrame, holds) -> DataFrame:
+    """Each row once for every date (``vintage``) for which ``holds`` (Column -> condition) is true.
+
+    The dates, of which every output row has one anyway, travel as one array in one row; rows are exploded where they are.
+    """
+    one = dates.agg(F.sort_array(F.collect_set("vintage")).alias("_dates"))
+    return rows.crossJoin(one).withColumn("vintage", F.explode(F.filter("_dates", holds))).drop("_dates")
+
+
 def masked_vintages(scheduled: DataFrame, vintages: DataFrame, skip_unchanged: bool = False) -> DataFrame:
     """The panel at every vintage, released values only; ``skip_unchanged`` leaves out vintages without a release since the one before."""
-    vintages = F.broadcast(vintages)  # a short list of dates, not data
-    rows = scheduled.where(F.col("value").isNotNull()).join(vintages, F.col("release_date") <= F.col("vintage"))
+    rows = at_dates(scheduled.where(F.col("value").isNotNull()), vintages, lambda v: F.col("release_date") <= v)
     if skip_unchanged:
         counts = rows.groupBy("vintage").agg(F.count("*").alias("_n"))
         w = Window.orderBy("vintage")
         fresh = counts.withColumn("_b", F.lag("_n").over(w)).where(F.col("_b").isNull() | (F.col("_b") != F.col("_n"))).select("vintage")
-        rows = rows.join(F.broadcast(fresh), "vintage")
+        rows = rows.join(fresh, "vintage")
     return rows.select("vintage", "series", "period", "value")
 
 
@@ -76,9 +84,9 @@ def repeated_records(store: DataFrame) -> DataFrame:
 def vintage_matrix(store: DataFrame, series: str) -> DataFrame:
     """(period, vintage, value) of a series, each value carried forward to later vintages of the store."""
     own = store.where(F.col("series") == series)
-    dates = own.select("vintage").distinct()
-    rows = own.select("period", F.col("vintage").alias("_v"), "value").join(F.broadcast(dates), F.col("_v") <= F.col("vintage"))
-    return rows.groupBy("period", "vintage").agg(F.max_by("value", "_v").alias("value"))
+    until = own.select("period", F.col("vintage").alias("_v"), "value", F.lead("vintage").over(Window.partitionBy("period").orderBy("vintage")).alias("_next"))
+    rows = at_dates(until, own.select("vintage").distinct(), lambda v: (v >= F.col("_v")) & (F.col("_next").isNull() | (v < F.col("_next"))))
+    return rows.select("period", "vintage", "value")
 
 
 def revisions(store: DataFrame) -> DataFrame:
@@ -121,11 +129,15 @@ def compare(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def store_from_vintages(wide: DataFrame) -> DataFrame:
     """Records of successive vintages (vintage, series, period, value): unchanged cells are dropped, a cell that disappears is a record without value."""
-    dates = wide.select("vintage").distinct()
-    cells = wide.select(*CELL).distinct().join(F.broadcast(dates))
-    full = cells.join(wide, [*CELL, "vintage"], "left")
-    w = Window.partitionBy(*CELL).orderBy("vintage")
-    return full.withColumn("_b", F.lag("value").over(w)).where(~F.col("value").eqNullSafe(F.col("_b"))).select(*CELL, "vintage", "value")
+    order = Window.orderBy("vintage")  # of the vintages, not of their cells
+    dates = wide.select("vintage").distinct().select("vintage", F.row_number().over(order).alias("_k"), F.lead("vintage").over(order).alias("_after"))
+    w = Window.partitionBy(*CELL).orderBy("_k")
+    rows = wide.where(F.col("value").isNotNull()).join(dates, "vintage").withColumn("_was", F.lag(F.struct("_k", "value")).over(w)).withColumn("_then", F.lead("_k").over(w))
+    changed = F.col("_was").isNull() | (F.col("_was._k") < F.col("_k") - 1) | (F.col("_was.value") != F.col("value"))
+    gone = F.col("_after").isNotNull() & (F.col("_then").isNull() | (F.col("_then") > F.col("_k") + 1))
+    record, removal = F.struct("vintage", "value"), F.struct(F.col("_after").alias("vintage"), F.lit(None).cast("double").alias("value"))
+    found = F.filter(F.array(F.when(changed, record), F.when(gone, removal)), lambda x: x.isNotNull())
+    return rows.select(*CELL, F.explode(found).alias("_x")).select(*CELL, "_x.vintage", "_x.value")
 
 
 def store_from_calendar(scheduled: DataFrame) -> DataFrame:

@@ -40,13 +40,13 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def slotted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel with a ragged edge: each series ends by its delay, as of 2000-06-15."""
-    p = panel(spark, sf_dir).join(F.broadcast(delays(spark)), "series")
+    p = panel(spark, sf_dir).join(delays(spark), "series")
     seen = F.date_add(C.end_of(F.col("period"), "M"), F.col("delay")) <= F.lit("2000-06-15").cast("date")
     return P.truncate(P.with_slots(p.select("series", "period", F.when(seen, F.col("value")).alias("value"))), None, "2000-06-01")
 
 
 def delays(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(DELAYS.items()), "series string, delay int")
+    return P.literal(spark, list(DELAYS.items()), "series string, delay int")
 
 
 def quarterly(spark: SparkSession, sf_dir: str) -> DataFrame:

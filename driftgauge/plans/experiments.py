@@ -24,7 +24,7 @@ FORECASTS = "spec string, vintage date, period date, horizon long, forecast doub
 
 def evaluate(scheduled: DataFrame, target: str, names: list[str], specs: list[dict], vintages: DataFrame) -> DataFrame:
     """Forecasts of every specification ({method, n_factors, lags, without: [...]}) at every vintage."""
-    cells = scheduled.where(F.col("series").isin(target, *names)).join(F.broadcast(vintages), F.col("period") <= F.col("vintage"))
+    cells = V.at_dates(scheduled.where(F.col("series").isin(target, *names)), vintages, lambda v: F.col("period") <= v)
     cells = V.release_mask(cells, F.col("vintage")).select("vintage", "series", "period", "value")
     cells = cells.withColumn("spec", F.explode(F.array(*[F.lit(json.dumps(s, sort_keys=True)) for s in specs])))
 

@@ -93,7 +93,6 @@ v AS (SELECT *, star * (1 - star) / n - (((2 * py - 1) * (2 * py - 1) * px * (1
 SELECT model, horizon, n, round(hit_rate, 10) AS hit_rate, round(star, 10) AS expected, round(CASE WHEN d > 1e-15 THEN (hit_rate - star) / sqrt(d) END, 6) AS statistic FROM v""")
 def pesaran_timmermann_stat(spark, sf):
     p = E.pesaran_timmermann(D.forecasts(spark, sf)).drop("p_value")
-    p = p.withColumn("statistic", F.when(F.abs("statistic") < 1e6, F.col("statistic")))
     return rounded(rounded(p, "hit_rate", "expected", n=10), "statistic", n=6)
 
 

@@ -29,7 +29,7 @@ def zscores_full(spark, sf):
 @query("""+ z AS (SELECT series, period, (value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0) AS z FROM panel WINDOW w AS (PARTITION BY series ORDER BY period ROWS BETWEEN 35 PRECEDING AND CURRENT ROW))
 SELECT CASE WHEN series < '3' THEN 'fast' ELSE 'slow' END AS label, period, round(avg(z), 9) AS z FROM z GROUP BY 1, 2""")
 def zscores_rolling_grouped(spark, sf):
-    groups = spark.createDataFrame([(s, "fast" if s < "3" else "slow") for s in D.SERIES], "series string, label string")
+    groups = P.literal(spark, [(s, "fast" if s < "3" else "slow") for s in D.SERIES], "series string, label string")
     return rounded(G.group_means(G.zscores(D.panel(spark, sf), 36), groups), "z")
 
 
@@ -116,7 +116,7 @@ def preselect_topk(spark, sf):
     p = D.panel(spark, sf)
     y = p.where(F.col("series") == D.TARGET).select("period", F.col("value").alias("y"))
     x = p.where(F.col("series") != D.TARGET).withColumn("_x", F.array(*[F.struct(F.lit(k).alias("k"), F.lag("value", k).over(w).alias("v")) for k in (0, 1, 2)])).select("series", "period", F.explode("_x").alias("_x"))
-    j = x.join(F.broadcast(y), "period").where("_x.v IS NOT NULL AND y IS NOT NULL")
+    j = x.join(y, "period").where("_x.v IS NOT NULL AND y IS NOT NULL")
     g = j.groupBy("series", F.col("_x.k").alias("best_lag")).agg(F.abs(F.corr("_x.v", "y")).alias("score"))
     best = g.withColumn("_r", F.row_number().over(Window.partitionBy("series").orderBy(F.col("score").desc(), "best_lag"))).where("_r = 1").drop("_r")
     return rounded(best, "score").orderBy(F.col("score").desc()).limit(3)

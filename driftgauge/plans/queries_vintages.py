@@ -64,7 +64,7 @@ def as_of_store(spark, sf):
     return rounded(V.as_of(D.store(spark, sf), "1999-06-15"), "value").select("series", "period", "vintage", "value")
 
 
-@query("""+ s AS (SELECT period, vintage, value FROM store WHERE series = '1-URGENT' AND period >= DATE '2000-01-01'), d AS (SELECT DISTINCT vintage FROM s)
+@query("""+ s AS (SELECT period, vintage, value FROM store WHERE series = '1-URGENT'), d AS (SELECT DISTINCT vintage FROM s)
 SELECT s.period, d.vintage, round(arg_max_null(s.value, s.vintage), 9) AS value FROM s JOIN d ON s.vintage <= d.vintage GROUP BY 1, 2""")
 def vintage_matrix(spark, sf):
     return rounded(V.vintage_matrix(D.store(spark, sf), D.TARGET), "value").select("period", "vintage", "value")
@@ -115,7 +115,7 @@ SELECT series, period, vintage, round(value, 9) AS value FROM c QUALIFY value IS
 def store_from_vintages(spark, sf):
     s = D.store(spark, sf)
     grid = V.vintage_grid(s.agg(F.count("*").alias("n")), "1999-01-31", "2000-10-31", 3)
-    rows = s.select("series", "period", F.col("vintage").alias("_v"), "value").join(F.broadcast(grid), F.col("_v") <= F.col("vintage"))
+    rows = V.at_dates(s.select("series", "period", F.col("vintage").alias("_v"), "value"), grid, lambda v: F.col("_v") <= v)
     wide = rows.groupBy("vintage", "series", "period").agg(F.max_by("value", "_v").alias("value"))
     return rounded(V.store_from_vintages(wide), "value")
 

@@ -49,7 +49,7 @@ def read_store(spark: SparkSession, path: str, format: str = "parquet") -> DataF
 def join_legend(panel: DataFrame, legend: DataFrame) -> DataFrame:
     """Metadata columns (series, frequency, transform, delay, category, blocks as a;b) beside the values."""
     blocks = F.filter(F.transform(F.split(F.coalesce("blocks", F.lit("")), ";"), F.trim), lambda b: b != F.lit(""))
-    return panel.join(F.broadcast(legend.withColumn("blocks", blocks)), "series", "left")
+    return panel.join(legend.withColumn("blocks", blocks), "series", "left")
 
 
 def combine(parts: list[DataFrame], names: list[str]) -> DataFrame:

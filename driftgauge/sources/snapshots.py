@@ -41,7 +41,7 @@ class Snapshots:
     def history(self, name: str) -> DataFrame:
         """A table of all committed runs, with run and creation time."""
         df = self.spark.read.option("basePath", f"{self.root}/tables/{name}").parquet(f"{self.root}/tables/{name}")
-        return df.withColumn("run", F.col("run").cast("string")).join(F.broadcast(self.runs().select("run", "created")), "run")
+        return df.withColumn("run", F.col("run").cast("string")).join(self.runs().select("run", "created"), "run")
 
     def diff(self, name: str, keys: list[str], value: str, old: str = "latest~1", new: str = "latest") -> DataFrame:
         a = self.table(name, old).select(*keys, F.col(value).alias("old"))
