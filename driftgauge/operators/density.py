@@ -6,6 +6,7 @@ Column functions serve tables of results; numpy functions serve grouped maps.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -144,13 +145,107 @@ def weighted_quantile_score(rows: DataFrame, by: list[str], kind: str = "uniform
     return rows.groupBy(*by).agg((2 * F.avg(w * pinball(F.col("actual"), F.col("quantile"), q))).alias("score"))
 
 
-def empirical_bands(errors: DataFrame, levels: list[float], least: int = 8) -> DataFrame:
-    """errors: model, horizon, vintage, period, forecast, actual, error. Every row gets the quantiles of errors of its model and
-    horizon whose vintage is before its own and whose period was over by then."""
-    past = errors.select("model", "horizon", F.col("vintage").alias("_v"), F.col("period").alias("_p"), F.col("error").alias("_e"))
-    j = errors.join(past, ["model", "horizon"]).where("_v < vintage AND _p <= vintage")
-    g = j.groupBy("model", "horizon", "vintage", "period", "forecast", "actual").agg(F.count("*").alias("n"), F.percentile("_e", F.array(*[F.lit(q) for q in levels])).alias("q"))
-    return g.where(F.col("n") >= least).select("model", "horizon", "vintage", "period", "forecast", "actual", "n", *[(F.col("forecast") + F.col("q")[i]).alias(f"q{round(100 * x):02d}") for i, x in enumerate(levels)])
+def known_errors(errors: DataFrame, strict: bool = False) -> DataFrame:
+    """Adds ``known``, the sorted errors of a row's model and horizon whose period was over at its vintage (``strict``: before it).
+
+    Errors and vintages are events in order of date, and one window over each model and horizon collects what came
+    before; no row is joined with the rows before it.
+    """
+    when = F.struct(F.col("period").alias("at"), F.lit(1 if strict else 0).alias("kind"), F.col("error").alias("e"), F.lit(None).cast(_row_type(errors)).alias("row"))
+    asked = F.struct(F.col("vintage").alias("at"), F.lit(0 if strict else 1).alias("kind"), F.lit(None).cast("double").alias("e"), F.struct(*errors.columns).alias("row"))
+    events = errors.select("model", "horizon", F.explode(F.array(when, asked)).alias("x")).select("model", "horizon", "x.*")
+    before = Window.partitionBy("model", "horizon").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    got = events.withColumn("known", F.collect_list("e").over(before)).where(F.col("row").isNotNull())
+    return got.select("row.*", F.sort_array("known").alias("known"))
+
+
+def _row_type(df: DataFrame) -> str:
+    return df.select(F.struct(*df.columns).alias("r")).schema["r"].dataType.simpleString()
+
+
+def quantile_of(known: Column, q: float) -> Column:
+    """Linear interpolation between the values of a sorted array."""
+    at = (F.size(known) - 1) * F.lit(float(q))
+    low = F.floor(at).cast("int")
+    a, b = F.get(known, low), F.get(known, F.least(low + 1, F.size(known) - 1))
+    return a + (b - a) * (at - low)
+
+
+def empirical_bands(errors: DataFrame, levels: list[float], least: int = 8, strict: bool = False) -> DataFrame:
+    """errors: model, horizon, vintage, period, forecast, actual, error. Every row gets its forecast plus the quantiles of the errors known at its vintage."""
+    k = known_errors(errors, strict).withColumn("n", F.size("known").cast("long")).where(F.col("n") >= least)
+    names = [f"q{round(100 * x):02d}" for x in levels]
+    return k.select("model", "horizon", "vintage", "period", "forecast", "actual", "n", *[(F.col("forecast") + quantile_of(F.col("known"), q)).alias(c) for q, c in zip(levels, names)])
+
+
+def sample_scores(errors: DataFrame, least: int = 8) -> DataFrame:
+    """CRPS and probability transform of every row under the sample of its forecast plus the known errors, by ranks rather than pairs."""
+    k = known_errors(errors).withColumn("n", F.size("known").cast("long")).where(F.col("n") >= least)
+    own, n = F.col("error"), F.col("n")
+    near = F.aggregate("known", F.lit(0.0), lambda s, e: s + F.abs(e - own)) / n
+    ranked = F.zip_with("known", F.sequence(F.lit(1).cast("long"), n), lambda e, i: (2 * i - n - 1) * e)
+    spread = F.aggregate(ranked, F.lit(0.0), lambda s, x: s + x) * 2 / (n * n)
+    below = F.size(F.filter("known", lambda e: e <= own)) / n
+    return k.select("model", "horizon", "vintage", "period", "n", (near - spread / 2).alias("crps"), below.cast("double").alias("pit"))
+
+
+def error_scales(errors: DataFrame, winsorise: float | None = None) -> DataFrame:
+    """Per model and horizon: n, bias, mean absolute and root mean square error, and the deviation that a normal error with that mean absolute one has.
+
+    ``winsorise``: errors are pulled in to so many median absolute deviations from the median first.
+    """
+    e = errors
+    if winsorise is not None:
+        w = Window.partitionBy("model", "horizon")
+        e = e.withColumn("_med", F.percentile("error", 0.5).over(w))
+        e = e.withColumn("_mad", F.percentile(F.abs(F.col("error") - F.col("_med")), 0.5).over(w))
+        e = e.withColumn("error", F.greatest(F.least("error", F.col("_med") + winsorise * F.col("_mad")), F.col("_med") - winsorise * F.col("_mad")))
+    x = F.col("error")
+    return e.groupBy("model", "horizon").agg(F.count("*").alias("n"), F.avg(x).alias("bias"), F.avg(F.abs(x)).alias("mae"), F.sqrt(F.avg(x * x)).alias("rmse"), (F.avg(F.abs(x)) * math.sqrt(math.pi / 2)).alias("sigma_mae"))
+
+
+def gaussian_log_score(errors: DataFrame) -> DataFrame:
+    """Mean log density of each model's and horizon's errors under a normal one with their deviation."""
+    e = errors.withColumn("_s", F.stddev_samp("error").over(Window.partitionBy("model", "horizon")))
+    z = F.col("error") / F.col("_s")
+    return e.groupBy("model", "horizon").agg(F.avg(-0.5 * z * z - F.log("_s") - 0.5 * math.log(2 * math.pi)).alias("log_score"))
+
+
+def uniformity_distance(errors: DataFrame) -> DataFrame:
+    """Kolmogorov-Smirnov distance from the uniform of the normal transforms of each model's and horizon's standardised errors."""
+    from ..functions.distributions import normal_upper
+
+    w = Window.partitionBy("model", "horizon")
+    u = 1 - normal_upper((F.col("error") - F.avg("error").over(w)) / F.stddev_samp("error").over(w))
+    r = errors.withColumn("_u", u).withColumn("_n", F.count("error").over(w))
+    r = r.withColumn("_i", F.row_number().over(w.orderBy("_u")))
+    return r.groupBy("model", "horizon").agg(F.max("_n").alias("n"), F.max(F.greatest(F.col("_i") / F.col("_n") - F.col("_u"), F.col("_u") - (F.col("_i") - 1) / F.col("_n"))).alias("ks"))
+
+
+def quantile_scores(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows: by..., level, quantile, actual. The mean quantile score of each group."""
+    return rows.groupBy(*by).agg(F.avg(pinball(F.col("actual"), F.col("quantile"), F.col("level"))).alias("score"))
+
+
+def interval_levels(columns: list[str]) -> dict[int, tuple[str, str]]:
+    """Levels of the bands among columns such as q05, q95 or lower_90, upper_90."""
+    out: dict[int, tuple[str, str]] = {}
+    for c in columns:
+        if (m := re.fullmatch(r"lower_(\d+)", c)) and f"upper_{m[1]}" in columns:
+            out[int(m[1])] = (c, f"upper_{m[1]}")
+        elif (m := re.fullmatch(r"q(\d\d)", c)) and int(m[1]) < 50 and f"q{100 - int(m[1]):02d}" in columns:
+            out[100 - 2 * int(m[1])] = (c, f"q{100 - int(m[1]):02d}")
+    return dict(sorted(out.items()))
+
+
+def gaussian_quantiles(table: DataFrame, levels: tuple[float, ...] = (0.05, 0.16, 0.25, 0.5, 0.75, 0.84, 0.95), point: str = "estimate", std: str = "std") -> DataFrame:
+    """Quantile columns of a point and a standard deviation."""
+    return table.select("*", *[(F.col(point) + normal_ppf(q) * F.col(std)).alias(f"q{round(100 * q):02d}") for q in levels])
+
+
+def fan_chart(m: Mixture, levels: tuple[float, ...] = (0.3, 0.6, 0.9)) -> list[dict]:
+    """Bands of a distribution, widest last."""
+    return [{"level": q, "lower": m.interval(q)[0], "upper": m.interval(q)[1]} for q in sorted(levels)]
 
 
 def gaussian_bands(table: DataFrame, levels: list[float], point: str = "estimate", std: str = "std") -> DataFrame:

@@ -182,15 +182,15 @@ def loss_table(table: DataFrame, models: list[str], loss: str = "squared") -> Da
     return e.groupBy("horizon", *TARGET).agg(*[F.max(F.when(F.col("model") == m, x)).alias(m) for m in models])
 
 
-def interval_summary(rows: DataFrame, alpha: float) -> DataFrame:
-    """Per model: coverage, width, interval score, and Christoffersen's tests from hit transitions. rows: model, period, actual, lower, upper."""
+def interval_summary(rows: DataFrame, alpha: float, by: tuple[str, ...] = ("model",)) -> DataFrame:
+    """Per model, or what ``by`` names: coverage, width, interval score, and Christoffersen's tests from hit transitions. rows: model, period, actual, lower, upper."""
     from ..functions.distributions import chi2_upper
 
     hit = ((F.col("actual") >= F.col("lower")) & (F.col("actual") <= F.col("upper"))).cast("int")
     score = F.col("upper") - F.col("lower") + 2 / alpha * (F.greatest(F.col("lower") - F.col("actual"), F.lit(0.0)) + F.greatest(F.col("actual") - F.col("upper"), F.lit(0.0)))
-    p = rows.withColumn("hit", hit).withColumn("was", F.lag(hit).over(Window.partitionBy("model").orderBy("period")))
+    p = rows.withColumn("hit", hit).withColumn("was", F.lag(hit).over(Window.partitionBy(*by).orderBy("period")))
     n = lambda a, b: F.sum(((F.col("was") == a) & (F.col("hit") == b)).cast("long"))
-    g = p.groupBy("model").agg(F.count("*").alias("n"), F.sum("hit").alias("n_hits"), F.avg(score).alias("interval_score"), F.avg(F.col("upper") - F.col("lower")).alias("width"), n(0, 0).alias("n00"), n(0, 1).alias("n01"), n(1, 0).alias("n10"), n(1, 1).alias("n11"))
+    g = p.groupBy(*by).agg(F.count("*").alias("n"), F.sum("hit").alias("n_hits"), F.avg(score).alias("interval_score"), F.avg(F.col("upper") - F.col("lower")).alias("width"), n(0, 0).alias("n00"), n(0, 1).alias("n01"), n(1, 0).alias("n10"), n(1, 1).alias("n11"))
     xlog = lambda k, q: F.when(k > 0, k * F.log(q)).otherwise(0.0)
     k, m = F.col("n_hits"), F.col("n") - F.col("n_hits")
     lr_uc = -2 * (k * F.log(F.lit(1 - alpha)) + m * F.log(F.lit(alpha)) - xlog(k, k / F.col("n")) - xlog(m, m / F.col("n")))

@@ -9,35 +9,19 @@ from __future__ import annotations
 import hashlib
 import json
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
-from ..operators import vintages as V
 from ..operators.selection import spec_key, weighted_score
 from ..sources.files import fingerprint
 
-FORECASTS = "spec string, vintage date, period date, horizon long, forecast double"
-
-
 def evaluate(scheduled: DataFrame, target: str, names: list[str], specs: list[dict], vintages: DataFrame) -> DataFrame:
     """Forecasts of every specification ({method, n_factors, lags, without: [...]}) at every vintage."""
-    cells = V.at_dates(scheduled.where(F.col("series").isin(target, *names)), vintages, lambda v: F.col("period") <= v)
-    cells = V.release_mask(cells, F.col("vintage")).select("vintage", "series", "period", "value")
-    cells = cells.withColumn("spec", F.explode(F.array(*[F.lit(json.dumps(s, sort_keys=True)) for s in specs])))
-
-    def run(key, pdf):
-        from driftgauge.plans.nowcasting import _block
-
-        spec = json.loads(key[1])
-        out_of = spec.pop("without", [])
-        out = _block(target, [n for n in names if n not in out_of], spec.pop("method", "em"), spec)(pdf)
-        out = out[out["out_of_sample"].notna()].reset_index(drop=True)
-        return pd.DataFrame({"spec": key[1], "vintage": key[0], "period": out["period"], "horizon": np.arange(1, len(out) + 1), "forecast": out["out_of_sample"]})
+    from .nowcasting import backtest
 
-    return cells.groupBy("vintage", "spec").applyInPandas(run, FORECASTS)
+    models = [{"method": "em", **s, "label": json.dumps(s, sort_keys=True)} for s in specs]
+    return backtest(scheduled, target, names, models, vintages).where(F.col("forecast").isNotNull()).select(F.col("model").alias("spec"), "vintage", "period", "horizon", "forecast")
 
 
 def search(scheduled: DataFrame, target: str, names: list[str], specs: list[dict], vintages: DataFrame, weights: dict[str, float], checkpoint: str | None = None) -> DataFrame:

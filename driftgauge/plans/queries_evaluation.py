@@ -1,6 +1,5 @@
 """Queries on forecast evaluation, tests, densities and scores."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
@@ -97,102 +96,91 @@ def pesaran_timmermann_stat(spark, sf):
 
 
 def _bands(spark, sf, alpha=0.2):
-    """Per model and period at horizon 1: an interval from the quantiles of earlier errors, strictly before the vintage."""
-    e = E.errors(D.forecasts(spark, sf)).where("horizon = 1")
-    past = Window.partitionBy("model").orderBy("period").rowsBetween(Window.unboundedPreceding, -2)
-    q = F.percentile("error", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).over(past)
-    e = e.withColumn("_q", q).withColumn("_n", F.count("error").over(past)).where("_n >= 8")
-    return e.select("model", "period", "actual", "forecast", "error", (F.col("forecast") + F.col("_q")[0]).alias("lower"), (F.col("forecast") + F.col("_q")[1]).alias("upper"))
+    """Per model, horizon and period an interval from the quantiles of errors known strictly before the vintage."""
+    from ..operators.density import empirical_bands
 
+    b = empirical_bands(E.errors(D.forecasts(spark, sf)), [alpha / 2, 1 - alpha / 2], strict=True)
+    return b.withColumnsRenamed({"q10": "lower", "q90": "upper"})
 
-_BANDS = """+ b0 AS (SELECT *, quantile_cont(error, 0.1) OVER w AS q0, quantile_cont(error, 0.9) OVER w AS q1, count(error) OVER w AS k FROM err WHERE horizon = 1 WINDOW w AS (PARTITION BY model ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING)),
-bands AS (SELECT model, period, actual, forecast, error, forecast + q0 AS lower_, forecast + q1 AS upper_ FROM b0 WHERE k >= 8) """
 
+_BANDS = """+ bands AS (SELECT r.model, r.horizon, r.period, any_value(r.actual) AS actual, any_value(r.forecast) AS forecast, any_value(r.forecast) + quantile_cont(p.error, 0.1) AS lower_, any_value(r.forecast) + quantile_cont(p.error, 0.9) AS upper_
+FROM err r JOIN err p ON p.model = r.model AND p.horizon = r.horizon AND p.period < r.vintage GROUP BY 1, 2, 3 HAVING count(*) >= 8) """
 
-@query(_BANDS + "SELECT model, period, round(actual, 11) AS actual, round(lower_, 11) AS lower, round(upper_, 11) AS upper FROM bands")
+
+@query(_BANDS + "SELECT model, horizon, period, round(actual, 11) AS actual, round(lower_, 10) AS lower, round(upper_, 10) AS upper FROM bands")
 def backtest_empirical_bands(spark, sf):
-    return rounded(_bands(spark, sf).select("model", "period", "actual", "lower", "upper"), "actual", "lower", "upper", n=11)
+    return rounded(rounded(_bands(spark, sf).select("model", "horizon", "period", "actual", "lower", "upper"), "actual", n=11), "lower", "upper", n=10)
 
 
-@query(_BANDS + "SELECT model, count(*) AS n, round(avg(upper_ - lower_), 10) AS width, round(avg(upper_ - lower_ + 10 * (greatest(lower_ - actual, 0) + greatest(actual - upper_, 0))), 7) AS interval_score, round(avg(CASE WHEN actual BETWEEN lower_ AND upper_ THEN 1.0 ELSE 0.0 END), 10) AS coverage FROM bands GROUP BY 1")
+@query(_BANDS + "SELECT model, horizon, count(*) AS n, round(avg(upper_ - lower_), 9) AS width, round(avg(upper_ - lower_ + 10 * (greatest(lower_ - actual, 0) + greatest(actual - upper_, 0))), 7) AS interval_score, round(avg(CASE WHEN actual BETWEEN lower_ AND upper_ THEN 1.0 ELSE 0.0 END), 10) AS coverage FROM bands GROUP BY 1, 2")
 def interval_score(spark, sf):
-    s = E.interval_summary(_bands(spark, sf), 0.2).select("model", "n", "width", "interval_score", "coverage")
-    return rounded(rounded(s, "width", "coverage", n=10), "interval_score", n=7)
+    s = E.interval_summary(_bands(spark, sf), 0.2, ("model", "horizon")).select("model", "horizon", "n", "width", "interval_score", "coverage")
+    return rounded(rounded(rounded(s, "coverage", n=10), "width"), "interval_score", n=7)
 
 
-@query(_BANDS + """, h AS (SELECT model, period, CASE WHEN actual BETWEEN lower_ AND upper_ THEN 1 ELSE 0 END AS hit FROM bands),
-t AS (SELECT *, lag(hit) OVER (PARTITION BY model ORDER BY period) AS was FROM h),
-g AS (SELECT model, count(*) AS n, CAST(sum(hit) AS BIGINT) AS k, CAST(sum(CASE WHEN was = 0 AND hit = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n00, CAST(sum(CASE WHEN was = 0 AND hit = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n01, CAST(sum(CASE WHEN was = 1 AND hit = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n10, CAST(sum(CASE WHEN was = 1 AND hit = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n11 FROM t GROUP BY 1)
-SELECT model, n, k AS n_hits, n00, n01, n10, n11, round(-2 * (k * ln(0.8) + (n - k) * ln(0.2) - CASE WHEN k > 0 THEN k * ln(k / n) ELSE 0 END - CASE WHEN n > k THEN (n - k) * ln((n - k) / n) ELSE 0 END), 7) AS lr_uc FROM g""")
+@query(_BANDS + """, h AS (SELECT model, horizon, period, CASE WHEN actual BETWEEN lower_ AND upper_ THEN 1 ELSE 0 END AS hit FROM bands),
+t AS (SELECT *, lag(hit) OVER (PARTITION BY model, horizon ORDER BY period) AS was FROM h),
+g AS (SELECT model, horizon, count(*) AS n, CAST(sum(hit) AS BIGINT) AS k, CAST(sum(CASE WHEN was = 0 AND hit = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n00, CAST(sum(CASE WHEN was = 0 AND hit = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n01, CAST(sum(CASE WHEN was = 1 AND hit = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n10, CAST(sum(CASE WHEN was = 1 AND hit = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n11 FROM t GROUP BY 1, 2)
+SELECT model, horizon, n, k AS n_hits, n00, n01, n10, n11, round(-2 * (k * ln(0.8) + (n - k) * ln(0.2) - CASE WHEN k > 0 THEN k * ln(k / n) ELSE 0 END - CASE WHEN n > k THEN (n - k) * ln((n - k) / n) ELSE 0 END), 7) AS lr_uc FROM g""")
 def christoffersen_lr(spark, sf):
-    s = E.interval_summary(_bands(spark, sf), 0.2).select("model", "n", "n_hits", "n00", "n01", "n10", "n11", "lr_uc")
+    s = E.interval_summary(_bands(spark, sf), 0.2, ("model", "horizon")).select("model", "horizon", "n", "n_hits", "n00", "n01", "n10", "n11", "lr_uc")
     return rounded(s, "lr_uc", n=7)
 
 
 @query("+ q AS (SELECT model, horizon, actual, forecast * (1 + (t - 0.5) / 5) AS q, t FROM err, (VALUES (0.1), (0.5), (0.9)) v(t)) SELECT model, horizon, CAST(t AS DOUBLE) AS tau, round(avg(CASE WHEN actual >= q THEN t * (actual - q) ELSE (1 - t) * (q - actual) END), 10) AS score FROM q GROUP BY ALL")
 def pinball(spark, sf):
-    e = E.errors(D.forecasts(spark, sf)).withColumn("tau", F.explode(F.array(*[F.lit(t) for t in (0.1, 0.5, 0.9)])))
-    q = F.col("forecast") * (1 + (F.col("tau") - 0.5) / 5)
-    d = F.col("actual") - q
-    return e.groupBy("model", "horizon", "tau").agg(F.round(F.avg(F.when(d >= 0, F.col("tau") * d).otherwise((F.col("tau") - 1) * d)), 10).alias("score"))
+    from ..operators.density import quantile_scores
+
+    e = E.errors(D.forecasts(spark, sf)).withColumn("level", F.explode(F.array(*[F.lit(t) for t in (0.1, 0.5, 0.9)])))
+    e = e.withColumn("quantile", F.col("forecast") * (1 + (F.col("level") - 0.5) / 5))
+    return rounded(quantile_scores(e, ["model", "horizon", "level"]).withColumnRenamed("level", "tau"), "score", n=10)
 
 
-@query("""+ s AS (SELECT a.model, a.horizon, a.period, a.vintage, a.actual, a.forecast + b.error AS x FROM err a JOIN err b ON a.model = b.model AND a.horizon = b.horizon AND b.period <= a.vintage WHERE a.horizon = 1),
-m AS (SELECT model, period, any_value(actual) AS actual, count(*) AS n, avg(abs(x - actual)) AS d1, avg(CASE WHEN x <= actual THEN 1.0 ELSE 0.0 END) AS pit FROM s GROUP BY 1, 2),
-r AS (SELECT model, period, x, row_number() OVER (PARTITION BY model, period ORDER BY x) AS i, count(*) OVER (PARTITION BY model, period) AS n FROM s),
-e AS (SELECT model, period, sum((2 * i - n - 1) * x) * 2 / (CAST(any_value(n) AS DOUBLE) * any_value(n)) AS d2 FROM r GROUP BY 1, 2)
-SELECT model, period, n, round(d1 - d2 / 2, 7) AS crps, round(pit, 10) AS pit FROM m JOIN e USING (model, period) WHERE n >= 8""")
+@query("""+ s AS (SELECT a.model, a.horizon, a.period, a.vintage, a.actual, a.forecast + b.error AS x FROM err a JOIN err b ON a.model = b.model AND a.horizon = b.horizon AND b.period <= a.vintage),
+m AS (SELECT model, horizon, period, any_value(actual) AS actual, count(*) AS n, avg(abs(x - actual)) AS d1, avg(CASE WHEN x <= actual + 1e-12 THEN 1.0 ELSE 0.0 END) AS pit FROM s GROUP BY 1, 2, 3),
+r AS (SELECT model, horizon, period, x, row_number() OVER (PARTITION BY model, horizon, period ORDER BY x) AS i, count(*) OVER (PARTITION BY model, horizon, period) AS n FROM s),
+e AS (SELECT model, horizon, period, sum((2 * i - n - 1) * x) * 2 / (CAST(any_value(n) AS DOUBLE) * any_value(n)) AS d2 FROM r GROUP BY 1, 2, 3)
+SELECT model, horizon, period, n, round(d1 - d2 / 2, 7) AS crps, round(pit, 10) AS pit FROM m JOIN e USING (model, horizon, period) WHERE n >= 8""")
 def crps_sample(spark, sf):
-    """Energy form over the sample of earlier errors, by ranks rather than pairs."""
-    e = E.errors(D.forecasts(spark, sf)).where("horizon = 1")
-    past = e.select("model", F.col("period").alias("_p"), F.col("error").alias("_e"))
-    s = e.join(past, "model").where("_p <= vintage").select("model", "period", "actual", (F.col("forecast") + F.col("_e")).alias("x"))
-    w = Window.partitionBy("model", "period")
-    s = s.withColumn("i", F.row_number().over(w.orderBy("x"))).withColumn("n", F.count("*").over(w))
-    g = s.groupBy("model", "period").agg(F.max("n").alias("n"), F.avg(F.abs(F.col("x") - F.col("actual"))).alias("d1"), (F.sum((2 * F.col("i") - F.col("n") - 1) * F.col("x")) * 2 / (F.max("n") * F.max("n"))).alias("d2"), F.avg((F.col("x") <= F.col("actual")).cast("double")).alias("pit"))
-    return g.where("n >= 8").select("model", "period", "n", F.round(F.col("d1") - F.col("d2") / 2, 7).alias("crps"), F.round("pit", 10).alias("pit"))
+    """Energy form over the sample of known errors, by ranks rather than pairs."""
+    from ..operators.density import sample_scores
+
+    return rounded(rounded(sample_scores(E.errors(D.forecasts(spark, sf))).drop("vintage"), "crps", n=7), "pit", n=10)
 
 
-_PIT = """+ u0 AS (SELECT model, period, error, avg(error) OVER w AS m, stddev_samp(error) OVER w AS s, count(error) OVER w AS n FROM err WHERE horizon = 1 WINDOW w AS (PARTITION BY model)),
-u AS (SELECT model, period, n, 1 / (1 + exp(-1.702 * (error - m) / s)) AS u FROM u0),
-r AS (SELECT model, u, row_number() OVER (PARTITION BY model ORDER BY u) AS i, n FROM u) """
+#: The normal distribution by its series phi(z) (z + z^3 / 3 + z^5 / 15 + ...), for the oracle.
+_PIT = """+ u0 AS (SELECT model, horizon, (error - avg(error) OVER w) / stddev_samp(error) OVER w AS z, count(error) OVER w AS n FROM err WINDOW w AS (PARTITION BY model, horizon)),
+u AS (SELECT model, horizon, n, 0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 150), lambda k: sign(z) * exp((2 * k + 1) * ln(greatest(abs(z), 1e-300)) - (lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1))))) AS u FROM u0),
+r AS (SELECT model, horizon, u, row_number() OVER (PARTITION BY model, horizon ORDER BY u) AS i, n FROM u) """
 
 
-@query(_PIT + "SELECT model, any_value(n) AS n, round(max(greatest(i / n - u, u - (i - 1) / n)), 10) AS ks FROM r GROUP BY 1")
+@query(_PIT + "SELECT model, horizon, any_value(n) AS n, round(max(greatest(i / n - u, u - (i - 1) / n)), 8) AS ks FROM r GROUP BY 1, 2")
 def ks_stat(spark, sf):
-    """Kolmogorov-Smirnov distance of probability transforms from the uniform, with a logistic transform of standardised errors."""
-    e = E.errors(D.forecasts(spark, sf)).where("horizon = 1")
-    w = Window.partitionBy("model")
-    u = 1 / (1 + F.exp(-1.702 * (F.col("error") - F.avg("error").over(w)) / F.stddev_samp("error").over(w)))
-    r = e.withColumn("u", u).withColumn("n", F.count("error").over(w)).withColumn("i", F.row_number().over(w.orderBy("u")))
-    return r.groupBy("model").agg(F.max("n").alias("n"), F.round(F.max(F.greatest(F.col("i") / F.col("n") - F.col("u"), F.col("u") - (F.col("i") - 1) / F.col("n"))), 10).alias("ks"))
+    """Kolmogorov-Smirnov distance of normal probability transforms from the uniform."""
+    from ..operators.density import uniformity_distance
+
+    return rounded(uniformity_distance(E.errors(D.forecasts(spark, sf))), "ks", n=8)
 
 
 @query("SELECT model, horizon, count(*) AS n, round(avg(error), 10) AS bias, round(avg(abs(error)), 10) AS mae, round(sqrt(avg(error * error)), 10) AS rmse, round(avg(abs(error)) * sqrt(pi() / 2), 10) AS sigma_mae FROM err GROUP BY 1, 2")
 def empirical_error_scales(spark, sf):
-    import math
+    from ..operators.density import error_scales
 
-    e = E.errors(D.forecasts(spark, sf))
-    g = e.groupBy("model", "horizon").agg(F.count("*").alias("n"), F.avg("error").alias("bias"), F.avg(F.abs("error")).alias("mae"), F.sqrt(F.avg(F.col("error") ** 2)).alias("rmse"), (F.avg(F.abs("error")) * math.sqrt(math.pi / 2)).alias("sigma_mae"))
-    return rounded(g, "bias", "mae", "rmse", "sigma_mae", n=10)
+    return rounded(error_scales(E.errors(D.forecasts(spark, sf))), "bias", "mae", "rmse", "sigma_mae", n=10)
 
 
 @query("+ x AS (SELECT model, horizon, error, quantile_cont(error, 0.5) OVER w AS med FROM err WINDOW w AS (PARTITION BY model, horizon)), y AS (SELECT *, quantile_cont(abs(error - med), 0.5) OVER (PARTITION BY model, horizon) AS mad FROM x) SELECT model, horizon, round(avg(greatest(least(error, med + 3 * mad), med - 3 * mad)), 10) AS bias, round(avg(abs(greatest(least(error, med + 3 * mad), med - 3 * mad))), 10) AS mae FROM y GROUP BY 1, 2")
 def winsorised_error_scales(spark, sf):
-    w = Window.partitionBy("model", "horizon")
-    e = E.errors(D.forecasts(spark, sf)).withColumn("med", F.percentile("error", 0.5).over(w))
-    e = e.withColumn("mad", F.percentile(F.abs(F.col("error") - F.col("med")), 0.5).over(w))
-    x = F.greatest(F.least("error", F.col("med") + 3 * F.col("mad")), F.col("med") - 3 * F.col("mad"))
-    return rounded(e.groupBy("model", "horizon").agg(F.avg(x).alias("bias"), F.avg(F.abs(x)).alias("mae")), "bias", "mae", n=10)
+    from ..operators.density import error_scales
+
+    return rounded(error_scales(E.errors(D.forecasts(spark, sf)), 3.0).select("model", "horizon", "bias", "mae"), "bias", "mae", n=10)
 
 
-@query("+ g AS (SELECT model, stddev_samp(error) AS s FROM err WHERE horizon = 1 GROUP BY 1) SELECT model, round(avg(-0.5 * (error / s) * (error / s) - ln(s) - 0.5 * ln(2 * pi())), 7) AS log_score FROM err JOIN g USING (model) WHERE horizon = 1 GROUP BY 1")
+@query("+ g AS (SELECT model, horizon, stddev_samp(error) AS s FROM err GROUP BY 1, 2) SELECT model, horizon, round(avg(-0.5 * (error / s) * (error / s) - ln(s) - 0.5 * ln(2 * pi())), 7) AS log_score FROM err JOIN g USING (model, horizon) GROUP BY 1, 2")
 def log_score_gaussian(spark, sf):
-    import math
+    from ..operators.density import gaussian_log_score
 
-    e = E.errors(D.forecasts(spark, sf)).where("horizon = 1").withColumn("s", F.stddev_samp("error").over(Window.partitionBy("model")))
-    z = F.col("error") / F.col("s")
-    return e.groupBy("model").agg(F.round(F.avg(-0.5 * z * z - F.log("s") - 0.5 * math.log(2 * math.pi)), 7).alias("log_score"))
+    return rounded(gaussian_log_score(E.errors(D.forecasts(spark, sf))), "log_score", n=7)
 
 
 @query()
