@@ -104,3 +104,16 @@ def prepare(panel: DataFrame, transform: str | int = 0, threshold: float = 4.0,
     p = replace_outliers(p, threshold, window).drop("outlier")
     p = fill_linear(p) if fill else p
     return fill_edges(p, window) if edges else p
+
+
+def report(panel: DataFrame, transform: str | int = 0, threshold: float = 4.0, most_missing: float = 1 / 3, keep: tuple[str, ...] = (), freq: str = "M") -> DataFrame:
+    """What ``prepare`` does to each series: cells, share missing after the transform, whether it is dropped, outliers replaced and interior gaps filled."""
+    p = apply(panel, transform, freq)
+    p = outliers(p, threshold)
+    seen = F.col("value").isNotNull()
+    first, last = F.min(F.when(seen, F.col("period"))).over(whole()), F.max(F.when(seen, F.col("period"))).over(whole())
+    gap = ~seen & (F.col("period") > first) & (F.col("period") < last)
+    p = p.withColumn("_gap", gap)
+    g = p.groupBy("series").agg(F.count("*").alias("n"), F.avg((~seen).cast("double")).alias("missing_share"), F.sum(F.col("outlier").cast("long")).alias("n_outliers"), F.sum(F.coalesce(F.col("_gap"), F.lit(False)).cast("long")).alias("n_filled"))
+    dropped = (F.col("missing_share") > most_missing) & ~F.col("series").isin(*keep)
+    return g.select("series", "n", "missing_share", dropped.alias("dropped"), *[F.when(dropped, F.lit(0)).otherwise(F.col(c)).cast("long").alias(c) for c in ("n_outliers", "n_filled")])

@@ -96,3 +96,118 @@ def factor_shares(x, loadings, factors) -> dict:
 
     common = factors @ loadings.T
     return {"r2": 1 - np.nanvar(x - common, 0) / np.nanvar(x, 0), "shares": np.var(factors, 0) * (loadings**2).sum(0) / np.nanvar(x, 0).sum()}
+
+
+def convergence(paths: DataFrame, by: list[str], order: str = "iteration", value: str = "loglik", tolerance: float = 1e-4, falls_beyond: float = 1e-9) -> DataFrame:
+    """Per path of log-likelihoods: steps, falls, the largest fall, the last relative change and whether it is below the tolerance."""
+    w = Window.partitionBy(*by).orderBy(order)
+    p = paths.withColumn("_b", F.lag(value).over(w)).withColumn("_d", F.col(value) - F.col("_b"))
+    p = p.withColumn("_r", F.abs(F.col("_d")) / ((F.abs(F.col(value)) + F.abs(F.col("_b"))) / 2 + 1e-12))
+    fall = F.col("_d") < -falls_beyond * (F.abs(F.col("_b")) + 1)
+    g = p.groupBy(*by).agg(F.count("*").alias("n_iter"), F.sum(F.coalesce(fall, F.lit(False)).cast("long")).alias("n_decreases"), F.coalesce(F.max(F.when(fall, -F.col("_d"))), F.lit(0.0)).alias("largest_decrease"), F.max_by("_r", order).alias("last_relative_change"))
+    return g.withColumn("converged", F.coalesce(F.col("last_relative_change") < tolerance, F.lit(False)))
+
+
+def break_ssr(y, X, t: int) -> float:
+    """Sum of squared residuals of two regressions, before row t and from it on (numpy)."""
+    from .forecasters import ols
+
+    return ols(X[:t], y[:t])[1] + ols(X[t:], y[t:])[1]
+
+
+_DRAWS: dict = {}
+
+
+def sup_break_draws(k: int, trim: float = 0.15, n_sim: int = 4000, n_grid: int = 500, seed: int = 0):
+    """Draws of the largest squared and scaled Brownian bridge of k dimensions between the trimmed ends; the null distribution of ``sup_break``."""
+    import numpy as np
+
+    key = (k, trim, n_sim, n_grid, seed)
+    if key not in _DRAWS:
+        rng = np.random.default_rng(seed)
+        at = np.arange(1, n_grid + 1) / n_grid
+        inside = (at >= trim) & (at <= 1 - trim)
+        out = []
+        for _ in range(0, n_sim, 500):
+            w = rng.standard_normal((min(500, n_sim), k, n_grid)).cumsum(2) / np.sqrt(n_grid)
+            bridge = w - at * w[:, :, -1:]
+            out.append(((bridge**2).sum(1) / np.where(inside, at * (1 - at), np.inf)).max(1))
+        _DRAWS[key] = np.sort(np.concatenate(out))
+    return _DRAWS[key]
+
+
+def sup_break_pvalue(statistic: float, k: int, trim: float = 0.15, **kwargs) -> float:
+    d = sup_break_draws(k, trim, **kwargs)
+    return float((d >= statistic).mean())
+
+
+def sup_break_critical_values(k: int, trim: float = 0.15, levels: tuple[float, ...] = (0.1, 0.05, 0.01), **kwargs) -> dict[float, float]:
+    import numpy as np
+
+    d = sup_break_draws(k, trim, **kwargs)
+    return {a: float(np.quantile(d, 1 - a)) for a in levels}
+
+
+def effective_loadings(layout, loadings) -> list:
+    """Each series' loadings on a factor that stays constant: its loadings times the sum of its aggregation weights (numpy)."""
+    return [load * float(layout.at(i, 0).sum()) for i, load in enumerate(loadings)]
+
+
+def projection_residuals(x, factors) -> tuple:
+    """(residuals, loadings, r2) of each series on a constant and the factors, over the rows it has (numpy)."""
+    import numpy as np
+
+    from .forecasters import ols
+
+    X = np.column_stack([np.ones(len(factors)), factors])
+    out, load, r2 = np.full(x.shape, np.nan), [], []
+    for i in range(x.shape[1]):
+        ok = ~np.isnan(x[:, i]) & ~np.isnan(X).any(1)
+        b, ssr = ols(X[ok], x[ok, i])
+        out[ok, i] = x[ok, i] - X[ok] @ b
+        load.append(b[1:])
+        r2.append(1 - ssr / max(float(((x[ok, i] - x[ok, i].mean()) ** 2).sum()), 1e-300))
+    return out, np.array(load), np.array(r2)
+
+
+def factor_blocks(names: list[str], blocks: list[str]) -> dict[str, str]:
+    """The block of each factor whose name starts with the block's (the longest that does), else the factor's own name."""
+    return {n: max((b for b in blocks if n == b or n.startswith(f"{b}_") or n.startswith(f"{b}.")), key=len, default=n) for n in names}
+
+
+def run_diagnostics(results, names: list[str], trim: float = 0.15, alpha: float = 0.05, lags: int = 4, outlier: float = 4.0) -> dict:
+    """All checks of a fitted mixed-frequency model, as lists of rows by name (numpy): convergence, stability, contribution, residuals, outliers, and notes."""
+    import math
+
+    import numpy as np
+
+    from ..functions.distributions import chi2_sf
+
+    e = results.idiosyncratic()
+    f = results.factors()
+    path = np.array(results.path)
+    falls = np.diff(path)[np.diff(path) < -1e-9 * (np.abs(path[:-1]) + 1)]
+    out = {"convergence": [{"n_iter": len(path), "converged": results.converged, "n_decreases": len(falls), "largest_decrease": float(-falls.min()) if len(falls) else 0.0}], "stability": [], "contribution": [], "residuals": [], "outliers": []}
+    x = results.z
+    resid, _, r2 = projection_residuals(x, f)
+    for i, name in enumerate(names):
+        ok = ~np.isnan(x[:, i])
+        own = e[ok, i]
+        n = len(own)
+        out["contribution"].append({"series": name, "r2": float(r2[i])})
+        if n <= 4 * f.shape[1] + 8:
+            continue
+        X = np.column_stack([np.ones(n), f[ok]])
+        at, wald = sup_break(x[ok, i], X, trim)
+        out["stability"].append({"series": name, "row": int(np.flatnonzero(ok)[at]), "statistic": float(wald), "p_value": sup_break_pvalue(wald, X.shape[1], trim)})
+        c = own - own.mean()
+        r = [float(c[k:] @ c[:-k] / (c @ c)) for k in range(1, lags + 1)]
+        q = n * (n + 2) * sum(v * v / (n - k) for k, v in enumerate(r, 1))
+        s, k4 = (float((c**m).mean() / (c.var() ** (m / 2))) for m in (3, 4))
+        jb = n / 6 * (s * s + (k4 - 3) ** 2 / 4)
+        out["residuals"].append({"series": name, "n": n, "ljung_box": float(q), "ljung_box_p": chi2_sf(q, lags), "jarque_bera": float(jb), "jarque_bera_p": math.exp(-jb / 2)})
+        for t in np.flatnonzero(ok)[np.abs(c) > outlier * c.std()]:
+            out["outliers"].append({"series": name, "row": int(t), "residual": float(e[t, i])})
+    m = max(1, len(out["residuals"]))
+    out["notes"] = [f"{r['series']}: residuals are autocorrelated" for r in out["residuals"] if r["ljung_box_p"] * m < alpha] + [f"{r['series']}: loadings change at row {r['row']}" for r in out["stability"] if r["p_value"] * m < alpha] + ([] if results.converged else ["the iteration has not converged"])
+    return out

@@ -203,8 +203,8 @@ def start_parameters(z: np.ndarray, layout: Layout) -> Parameters:
     return Parameters(A, S, loadings, ar, var, {i: 0.01 for i in layout.trends}, obs)
 
 
-def m_step(z: np.ndarray, layout: Layout, p: Parameters, s: Moments, estimate_trends: bool = True) -> Parameters:
-    """Parameters that maximise the expected likelihood."""
+def m_step(z: np.ndarray, layout: Layout, p: Parameters, s: Moments, estimate_trends: bool = True, weights: np.ndarray | None = None) -> Parameters:
+    """Parameters that maximise the expected likelihood; ``weights`` (time x series) are those of the measurement errors' precision."""
     n_t = len(z)
     E = s.second()
     cross = s.a[1:, :, None] * s.a[:-1, None, :] + s.lag[1:]
@@ -239,15 +239,16 @@ def m_step(z: np.ndarray, layout: Layout, p: Parameters, s: Moments, estimate_tr
                 M += G.T @ E[t] @ G
                 c += G.T @ (s.a[t] * z[t, i] - E[t] @ d)
         else:
-            whole = E[at].sum(0)
-            M, c = G.T @ whole @ G, G.T @ (s.a[at].T @ z[at, i] - whole @ d)
+            q = np.ones(len(at)) if weights is None else weights[at, i]
+            whole = np.einsum("t,tij->ij", q, E[at])
+            M, c = G.T @ whole @ G, G.T @ (s.a[at].T @ (q * z[at, i]) - whole @ d)
         load = np.linalg.solve(M + 1e-10 * np.eye(k), c) if k else np.zeros(0)
         loadings.append(load)
         if layout.idiosyncratic == "white" and len(at):
             e = 0.0
             for t in at:
                 row = (layout.regressors(i, t) if i in layout.calendar else G) @ load + (layout.own(i, t) if i in layout.calendar else d)
-                e += (z[t, i] - row @ s.a[t]) ** 2 + row @ s.P[t] @ row
+                e += (1.0 if weights is None else weights[t, i]) * ((z[t, i] - row @ s.a[t]) ** 2 + row @ s.P[t] @ row)
             obs[i] = max(e / len(at), FLOOR)
     return Parameters(A, S, loadings, ar, var, trend, obs)
 

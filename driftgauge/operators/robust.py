@@ -5,6 +5,9 @@ Splines, Student-t weights, pandemic treatments, blocks and blocked quarterly fo
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass, field
+
 import numpy as np
 
 from .factors import em_dfm, standardised
@@ -146,3 +149,119 @@ def aggregate_factors(f: np.ndarray, weights: list[float]) -> np.ndarray:
     for t in range(k - 1, len(f)):
         out[t] = sum(w * f[t - j] for j, w in enumerate(weights))
     return out
+
+
+#: Bounds of the degrees of freedom of Student-t errors.
+DF_BOUNDS = (2.1, 100.0)
+
+
+def digamma(x: float) -> float:
+    out = 0.0
+    while x < 6:
+        out -= 1 / x
+        x += 1
+    f = 1 / (x * x)
+    return out + math.log(x) - 0.5 / x - f * (1 / 12 - f * (1 / 120 - f * (1 / 252 - f * (1 / 240 - f / 132))))
+
+
+def update_df(q: np.ndarray, log_q: np.ndarray, bounds: tuple[float, float] = DF_BOUNDS) -> float:
+    """Degrees of freedom that maximise the expected likelihood of the weights: the root of a falling function, by bisection."""
+    gap = float((log_q - q).mean())
+
+    def slope(df: float) -> float:
+        return math.log(df / 2) + 1 - digamma(df / 2) + gap
+
+    lo, hi = bounds
+    if slope(lo) <= 0:
+        return lo
+    if slope(hi) >= 0:
+        return hi
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if slope(mid) > 0 else (lo, mid)
+    return (lo + hi) / 2
+
+
+def student_t_bound(q: np.ndarray, log_q: np.ndarray, df: float, shape: float | None = None) -> float:
+    """What gamma weights with means q and mean logarithms log_q add to the Gaussian log-likelihood with variances scaled by q, for a bound of the whole.
+
+    ``shape`` is that of their distributions, if it isn't the one that df gives.
+    """
+    n, half, post = q.size, df / 2, (df + 1) / 2 if shape is None else shape
+    prior = n * (half * math.log(half) - math.lgamma(half)) + (half - 1) * log_q.sum() - half * q.sum()
+    entropy = (post - np.log(post / q) + math.lgamma(post) + (1 - post) * digamma(post)).sum()
+    return float(prior + entropy + 0.5 * (log_q - np.log(q)).sum())
+
+
+def expected_squared_residuals(model: StateSpace, a: np.ndarray, P: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """E[(y - Z a)^2] of each cell; missing where y is."""
+    from .statespace import signal_mean, signal_variance
+
+    return (y - signal_mean(model, a)) ** 2 + signal_variance(model, P)
+
+
+def period_mask(periods: list, spec) -> np.ndarray:
+    """Which of the ordered periods a list of periods and closed (first, last) intervals covers."""
+    out = np.zeros(len(periods), bool)
+    for part in spec:
+        lo, hi = part if isinstance(part, tuple) else (part, part)
+        out |= np.array([(lo is None or p >= lo) and (hi is None or p <= hi) for p in periods])
+    return out
+
+
+def update_interventions(z: np.ndarray, fitted: np.ndarray, periods: np.ndarray) -> np.ndarray:
+    """Impulses (time x series) that maximise the likelihood: the whole residual in the periods marked, nothing elsewhere."""
+    return np.where(periods[:, None] & ~np.isnan(z), z - fitted, 0.0)
+
+
+def intervention_offset(dummies: np.ndarray, std: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """The path that impulses add to a standardised panel, in its units about the mean."""
+    return dummies * std + mean
+
+
+@dataclass
+class RobustResults:
+    """A factor model with Student-t errors: weights of the cells, degrees of freedom, impulses and flags of outliers."""
+
+    results: object
+    weights: np.ndarray
+    df: float
+    dummies: np.ndarray
+    bounds: list[float] = field(default_factory=list)
+
+    def flags(self, least: float = 0.3) -> np.ndarray:
+        return self.weights < least
+
+
+def robust_fit(x: np.ndarray, n_factors: int = 1, factor_lags: int = 1, quarterly: np.ndarray | None = None, df: float = 5.0, estimate_df: bool = True, interventions: np.ndarray | None = None, max_iter: int = 200, tolerance: float = 1e-4) -> RobustResults:
+    """EM with gamma weights of the measurement errors, so that a far cell counts less, until the bound settles.
+
+    ``interventions`` marks periods with an impulse for each series: their cells say nothing about factors or parameters.
+    """
+    from dataclasses import replace
+
+    from . import mixed
+    from .statespace import signal_mean, smoothed_moments
+
+    start = mixed.fit(x, n_factors, factor_lags, quarterly, idiosyncratic="white", max_iter=5)
+    z, layout, p = start.z, start.layout, start.parameters
+    used = z if interventions is None else np.where(interventions[:, None], np.nan, z)
+    seen = ~np.isnan(used)
+    q, log_q, shape, bounds = np.ones_like(z), None, 0.0, []
+    while True:
+        model = mixed.state_space(p, layout)
+        s = smoothed_moments(model, used, p.obs_var / q)
+        if log_q is not None:
+            bounds.append(s.loglik + student_t_bound(q[seen], log_q[seen], df, shape))
+        if len(bounds) > 1 and abs(bounds[-1] - bounds[-2]) <= tolerance * (abs(bounds[-1]) + 1e-12) or len(bounds) > max_iter:
+            break
+        e2 = expected_squared_residuals(model, s.a, s.P, used)
+        shape = (df + 1) / 2
+        q = np.where(seen, shape / ((df + np.nan_to_num(e2 / p.obs_var)) / 2), 1.0)
+        log_q = np.log(q) + digamma(shape) - math.log(shape)
+        p = mixed.m_step(used, layout, p, s, weights=q)
+        if estimate_df:
+            df = update_df(q[seen], log_q[seen])
+    fitted = signal_mean(model, s.a)
+    dummies = update_interventions(z, fitted, interventions) if interventions is not None else np.zeros_like(z)
+    return RobustResults(replace(start, parameters=p, model=model, moments=s, path=bounds, converged=len(bounds) <= max_iter), q, df, dummies, bounds)

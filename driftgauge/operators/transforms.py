@@ -18,7 +18,9 @@ def lag_of(word: str, freq: str = "M") -> int:
     """Periods of a lag: a number, or year, quarter, month at the series' frequency."""
     if word.lstrip("-").isdigit():
         return int(word)
-    per_year = {"W": 52, "M": 12, "Q": 4, "A": 1}[freq]
+    per_year = {"D": 365, "W": 52, "M": 12, "Q": 4, "A": 1}[freq]
+    if freq == "D" and word != "year":
+        raise ValueError(f"a lag of a {word} isn't whole at frequency D")
     k = per_year / {"year": 1, "quarter": 4, "month": 12}[word]
     if k != int(k) or k < 1:
         raise ValueError(f"a lag of a {word} isn't whole at frequency {freq}")

@@ -147,3 +147,27 @@ def store_from_calendar(scheduled: DataFrame) -> DataFrame:
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
+
+
+def with_delays(delays: DataFrame, changes: DataFrame) -> DataFrame:
+    """A table of delays with those of ``changes`` in place of its own, and new ones added."""
+    c = changes.select("series", F.col("delay").alias("_new"))
+    return delays.join(c, "series", "full").select("series", F.coalesce("_new", "delay").alias("delay"))
+
+
+def coerce_delays(rows: DataFrame, least: int = -366) -> DataFrame:
+    """Delays as whole days; a text that is no whole number, or one of a year and more before, ends the job with an error. Missing stays missing."""
+    n = F.col("delay").try_cast("double")
+    bad = F.col("delay").isNotNull() & (n.isNull() | (n != F.floor(n)) | (n <= least))
+    stop = F.raise_error(F.concat(F.lit("no delay in days: "), "series", F.lit(" "), F.col("delay").cast("string")))
+    return rows.select("series", F.when(bad, stop.cast("int")).otherwise(n.cast("int")).alias("delay"))
+
+
+def select_series(store: DataFrame, names: list[str]) -> DataFrame:
+    """The records of some series; those of a partitioned store are pruned at the scan."""
+    return store.where(F.col("series").isin(*names))
+
+
+def explicit_releases(series: DataFrame, dates: DataFrame) -> DataFrame:
+    """(series, period, date) for a legend (series, calendar) and a calendar's dates (calendar, period, date): series that are published together share a calendar."""
+    return series.select("series", "calendar").join(dates, "calendar").select("series", "period", "date")

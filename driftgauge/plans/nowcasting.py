@@ -326,11 +326,12 @@ def covid_periods(window: tuple[str, str] = COVID_WINDOW) -> dict[str, list[tupl
     return {"pre": [(None, before)], "during": [window], "post": [(after, None)], "ex": [(None, before), (after, None)]}
 
 
+#: Keys of a short specification; ``spec`` has the long form with sections.
 KEYS = {"data", "target", "method", "transform", "vintage", "prepare", "options"}
 
 
 def load_spec(source: str | dict) -> dict:
-    """A declarative run from a mapping or YAML text; all problems are named together."""
+    """A short specification from a mapping or YAML text; all problems are named together."""
     import yaml
 
     spec = yaml.safe_load(source) if isinstance(source, str) else dict(source)
@@ -344,40 +345,11 @@ def load_spec(source: str | dict) -> dict:
     return {"method": "em", "transform": 0, "vintage": "2100-01-01", "prepare": False, "options": {}} | spec
 
 
-def run_spec(spark, source: str | dict) -> DataFrame:
-    """Data, transform, preparation and nowcast as the specification says. data: {path, format, layout}."""
-    from ..operators import cleaning, transforms
-    from ..operators.panel import regularise
-    from ..sources import files
-
-    spec = load_spec(source)
-    d = spec["data"]
-    panel = files.read_wide(spark, d["path"], d.get("period", "period"), d.get("format", "csv")) if d.get("layout", "wide") == "wide" else files.read_long(spark, d["path"], d.get("format", "parquet"))
-    panel = regularise(panel)
-    panel = cleaning.prepare(panel, spec["transform"]) if spec["prepare"] else transforms.apply(panel, spec["transform"])
-    return nowcast(panel, spec["target"], spec["method"], str(spec["vintage"]), **spec["options"])
-
-
-def main(argv: list[str] | None = None) -> int:
-    """run SPEC.yaml OUT | validate SPEC.yaml"""
-    import argparse
-
-    parser = argparse.ArgumentParser(description="Declarative nowcasts on Spark")
-    sub = parser.add_subparsers(dest="command", required=True)
-    run = sub.add_parser("run")
-    run.add_argument("spec")
-    run.add_argument("out")
-    sub.add_parser("validate").add_argument("spec")
-    args = parser.parse_args(argv)
-    with open(args.spec, encoding="utf-8") as f:
-        text = f.read()
-    try:
-        load_spec(text)
-    except ValueError as e:
-        print(e)
-        return 2
-    if args.command == "run":
-        from pyspark.sql import SparkSession
-
-        run_spec(SparkSession.builder.getOrCreate(), text).write.mode("overwrite").parquet(args.out)
-    return 0
+def run_spec(spark: SparkSession, source: str | dict) -> DataFrame:
+    """The nowcast of a short specification: data, transform, preparation and model."""
+    from . import spec as long
+
+    s = load_spec(source)
+    whole = long.NowcastSpec(long.DataSpec(**s["data"]), s["target"], str(s["vintage"]), long.PreprocessingSpec(bool(s["prepare"]), s["transform"]), long.ModelSpec(s["method"]))
+    panel = long.preprocess(long.read_panel(spark, whole), whole)
+    return nowcast(panel, s["target"], s["method"], str(s["vintage"]), **s["options"])
