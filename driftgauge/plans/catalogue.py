@@ -24,4 +24,4 @@ def query(sql: str | None = None):
     return register
 
 
-from . import queries_panel, queries_vintages, queries_evaluation, queries_models, queries_runs  # noqa: E402, F401, I001
+from . import queries_panel, queries_vintages, queries_evaluation, queries_models, queries_runs, queries_equations  # noqa: E402, F401, I001

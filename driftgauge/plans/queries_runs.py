@@ -188,7 +188,7 @@ def density_nowcast(spark, sf):
         m = Mixture.bootstrap(pdf["nowcast"].mean(), pdf["nowcast"].to_numpy(), pdf["std"].to_numpy())
         return pd.DataFrame({"quantile": [0.05, 0.16, 0.5, 0.84, 0.95], "value": [m.ppf(q) for q in (0.05, 0.16, 0.5, 0.84, 0.95)]})
 
-    return reps.withColumn("_k", F.signum(F.col("replicate") + 1)).groupBy("_k").applyInPandas(mix, "quantile double, value double")
+    return reps.groupBy(F.lit(1).alias("_k")).applyInPandas(mix, "quantile double, value double")
 
 
 @query()
