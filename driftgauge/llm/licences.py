@@ -1,20 +1,22 @@
 """Operator 9, licence scans by canonical digest look-up; DataFrame functions only.
 
 A text is brought to a canonical form: lines that state a copyright are dropped (a line
-of a hard-wrapped sentence that merely begins with the word is none), letters are lower-cased, hyphens vanish, other punctuation and white space separate
+of a hard-wrapped sentence that merely begins with the word is none), letters are lower-cased, hyphens vanish (also at the end of a line), other punctuation and white space separate
 words, and words spelt in several ways get one spelling. Entire canonical texts are
 hash-joined by digest to those of known licences. A line that is by itself a known
 notice is looked up alike, as an entire text of its own.
 
-The known texts are a fixed table, part of it files beside this module (its size is
-checked before it is broadcast). Canonical forms keep the number of words, so the digest is only made
-where the word count is one of a known text's: that skips no match. Nothing is
-shuffled and no document is joined by a key of its own, so hot groups don't matter.
-
-Edge cases: a null, empty or wordless text has no licence and an empty canonical form's
-digest; a text that only states a copyright is empty; of known texts with equal
-canonical forms the first name by the alphabet counts; repeated rows are
-independent; extra columns are ignored.
+The known texts are a table of names and texts: the one of this module, part of it files
+beside it, or another one. While it has at most ``MAX_KNOWN`` texts its digests are
+part of the plan and nothing is shuffled; a larger table is joined by its digests,
+entire texts and lines alike. Canonical forms keep the number of words, so a digest is only
+made where the word count is one of a known text's: that skips no match. No document
+is joined by a key of its own, so hot groups don't matter.
+
+Edge cases: a null, empty or wordless text, or one that only states a copyright, has no
+words, no digest and no licence; of known texts with equal canonical forms (ties) the
+first name by the alphabet counts; repeated rows are independent; a text of any length
+is looked up whole; an empty table gives none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import materialise, table, text_of
 
 # Known licence texts and notices.
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -172,10 +174,8 @@ _PROSE = r"(?:notices?|holders?|owners?|licen[cs]es?|laws?|statements?|interests
 #: A line that states, after marks of a comment, a copyright: with the sign, (c), a year, a place for one, or a name.
 _STATED = r"copyright(?:[ \t:]*(?:\(c\)|©|\(?[12][0-9]{3}|[\[<{])|[ \t:]+(?!" + _PROSE + r")\p{L})"
 COPYRIGHT = r"[ \t>*#/;-]*(?:" + _STATED + r"|\(c\)[ \t]*(?:[12][0-9]{3}|©|[\[<{]|" + _STATED + r")|©|all rights reserved)[^\n]*"
-#: The oracle's own pattern: every line that begins so.
-SQL_COPYRIGHT = r"[ \t>*#/;-]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
 BREAKS = r"[\s!\"#$%&'()*+,./:;<=>?@\[\\\]^_`{|}~“”‘’«»–—…•·©]+"
-#: Known texts are broadcast; more than this many aren't.
+#: Known texts whose digests are part of the plan; more are joined.
 MAX_KNOWN = 10_000
 
 
@@ -187,8 +187,8 @@ def _line_words(line: Column) -> Column:
 
 
 def _lines(text: Column) -> Column:
-    """The words of each line."""
-    return F.transform(F.split(text, "\n"), _line_words)
+    """The words of each line; a line that is broken at a hyphen goes on."""
+    return F.transform(F.split(F.regexp_replace(text, r"([\p{L}\p{N}])-\r?\n[ \t]*", "$1"), "\n"), _line_words)
 
 
 def _digest(words: Column) -> Column:
@@ -200,58 +200,118 @@ def canonical_digest(text: Column) -> Column:
     return _digest(F.flatten(_lines(text)))
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> list[tuple[str, int, str]]:
-    """(digest, words, name) of known texts, by the same columns as documents."""
-    if len(known) > MAX_KNOWN:
-        raise ValueError(f"{len(known)} known texts; at most {MAX_KNOWN} are broadcast")
-    rows = spark.createDataFrame(known, "name string, text string").select("name", F.flatten(_lines(F.col("text"))).alias("_w"))
-    got = rows.select(_digest(F.col("_w")).alias("d"), F.size("_w").alias("n"), "name").groupBy("d", "n").agg(F.min("name").alias("name")).collect()
-    return sorted((r["d"], r["n"], r["name"]) for r in got)
+def known_table(known: DataFrame) -> DataFrame:
+    """(d, n, name) of a table (name, text): digest and number of words by the same columns as documents; texts without words are none."""
+    rows = known.select("name", F.flatten(_lines(F.col("text"))).alias("_w")).where(F.size("_w") > 0)
+    return rows.select(_digest(F.col("_w")).alias("d"), F.size("_w").alias("n"), "name").groupBy("d", "n").agg(F.min("name").alias("name"))
+
 
+def standard_texts() -> list[tuple[str, str]]:
+    """All texts that are known by default."""
+    return KNOWN + further()
 
-def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: list[tuple[str, str]] = KNOWN, more: list[tuple[str, str]] | None = None) -> DataFrame:
+
+def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: list[tuple[str, str]] | DataFrame | None = None) -> DataFrame:
     """id, canonical_words, canonical_sha256, licence of the entire text, line_licences (sorted names).
 
-    Texts and lines are looked up among ``known`` and ``more``, by default ``further()``.
-    The digest is given where the word count is that of a text in ``known`` and wherever
-    a licence is found; so ``more`` changes no row but those it knows.
+    ``known`` is a list of (name, text), or a table of them, in place of ``standard_texts()``. The digest is given where
+    the word count is that of a known text.
     """
-    found = known_digests(docs.sparkSession, known + (further() if more is None else more))
-    shown = sorted({n for _, n, _ in known_digests(docs.sparkSession, known)})
-    counts = sorted({n for _, n, _ in found})
-    names = F.create_map(*[F.lit(x) for d, _, name in found for x in (d, name)])
+    spark = docs.sparkSession
+    texts = standard_texts() if known is None else known
+    table_of = known_table(texts if isinstance(texts, DataFrame) else spark.createDataFrame(texts, "name string, text string"))
+    if isinstance(texts, DataFrame):
+        table_of = materialise(table_of, "licences-known")
+    large = isinstance(texts, DataFrame) and table_of.count() > MAX_KNOWN or not isinstance(texts, DataFrame) and len(texts) > MAX_KNOWN
     rows = docs.select(F.col(id_col).alias("_id"), _lines(text_of(text_col)).alias("_lines"))
+    if large:
+        return _joined(rows, table_of, id_col)
+    found = table_of.collect()
+    counts = sorted({r["n"] for r in found})
+    names = F.create_map(*[F.lit(x) for r in found for x in (r["d"], r["name"])]) if found else F.create_map().cast("map<string,string>")
     rows = rows.select("_id", F.flatten("_lines").alias("_w"), F.filter("_lines", lambda w: F.size(w).isin(counts)).alias("_lines"))
     rows = rows.select("_id", F.size("_w").cast("long").alias("canonical_words"), F.when(F.size("_w").isin(counts), _digest(F.col("_w"))).alias("canonical_sha256"), F.array_sort(F.array_distinct(F.filter(F.transform("_lines", lambda w: F.element_at(names, _digest(w))), lambda x: x.isNotNull()))).alias("_found"))
-    table_of = docs.sparkSession.createDataFrame([(d, name) for d, _, name in found], "canonical_sha256 string, licence string")
-    joined = rows.join(F.broadcast(table_of), "canonical_sha256", "left")
-    digest = F.when(F.col("canonical_words").isin(shown) | F.col("licence").isNotNull(), F.col("canonical_sha256")).alias("canonical_sha256")
-    return joined.select(F.col("_id").alias(id_col), "canonical_words", digest, "licence", F.array_join("_found", ",").alias("line_licences"))
+    licence = spark.createDataFrame([(r["d"], r["name"]) for r in found], "canonical_sha256 string, licence string")
+    joined = rows.join(F.broadcast(licence), "canonical_sha256", "left")  # MAX_KNOWN rows at most
+    return joined.select(F.col("_id").alias(id_col), "canonical_words", "canonical_sha256", "licence", F.array_join("_found", ",").alias("line_licences"))
+
+
+def _joined(rows: DataFrame, table_of: DataFrame, id_col: str) -> DataFrame:
+    """The look-up by joins, for tables too large for a plan; word counts, of which there are no more than words in the longest text, still prune."""
+    counts = [r["n"] for r in table_of.select("n").distinct().collect()]
+    words = F.flatten("_lines")
+    lines = F.transform(F.filter("_lines", lambda w: F.size(w).isin(counts)), _digest)
+    base = rows.select("_id", F.size(words).cast("long").alias("canonical_words"), F.when(F.size(words).isin(counts), _digest(words)).alias("canonical_sha256"), lines.alias("_digests"), F.monotonically_increasing_id().alias("_row"))
+    base = materialise(base, "licences-rows")
+    hits = base.select("_row", F.explode(F.array_distinct("_digests")).alias("d")).join(table_of.select("d", "name"), "d")
+    hits = hits.groupBy("_row").agg(F.array_join(F.sort_array(F.collect_set("name")), ",").alias("line_licences"))
+    whole = base.where("canonical_sha256 IS NOT NULL").select("_row", F.col("canonical_sha256").alias("d")).join(table_of.select("d", F.col("name").alias("licence")), "d").drop("d")
+    out = base.join(whole, "_row", "left").join(hits, "_row", "left")
+    return out.select(F.col("_id").alias(id_col), "canonical_words", "canonical_sha256", "licence", F.coalesce("line_licences", F.lit("")).alias("line_licences"))
 
 
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan(table(spark, sf_dir, "documents"))
 
 
-def _canonical_sql(text: str) -> str:
-    """The list of canonical words in SQL."""
-    bare = f"regexp_replace(lower({text}), '(?m)^{SQL_COPYRIGHT}', '', 'g')"
-    breaks = BREAKS.replace("\\s", " \\t\\n\\x0B\\f\\r").replace("'", "''")
-    return f"list_filter(regexp_split_to_array(replace({bare}, '-', ''), '{breaks}'), lambda x: x <> '')"
+# The oracle: canonical forms of its own, in Python for the known texts and in SQL for the documents.
+
+
+def plain_words(text: str) -> list[str]:
+    """Canonical words in plain Python."""
+    words = []
+    for line in re.sub(r"([^\W_])-\r?\n[ \t]*", r"\1", text.lower()).split("\n"):
+        bare = line.lstrip(" \t>*#/;-")
+        if bare.startswith(("©", "all rights reserved")) or _states(bare):
+            continue
+        words += [SPELLINGS.get(w, w) for w in re.split(BREAKS, line.replace("-", "")) if w]
+    return words
 
 
-def _digest_sql(words: str) -> str:
+def _states(bare: str) -> bool:
+    """Whether a line that begins so states a copyright: the word or the sign (c), then a sign, a year, a place for one, or a name."""
+    if bare.startswith("(c)"):
+        rest = bare[3:].lstrip(" \t")
+        return bool(re.match(r"[12][0-9]{3}|[©\[<{]", rest)) or _states_word(rest)
+    return _states_word(bare)
+
+
+def _states_word(bare: str) -> bool:
+    if not bare.startswith("copyright"):
+        return False
+    tail = bare[9:]
+    rest = tail.lstrip(" \t:")
+    if re.match(r"\(c\)|©|\(?[12][0-9]{3}|[\[<{]", rest):
+        return True
+    return rest != tail and rest[:1].isalpha() and not re.match(_PROSE, rest, re.ASCII)
+
+
+def _oracle_sql() -> str:
+    import hashlib
+
+    best: dict[tuple[str, int], str] = {}
+    for name, text in standard_texts():
+        w = plain_words(text)
+        key = (hashlib.sha256(" ".join(w).encode()).hexdigest(), len(w))
+        if w:
+            best[key] = min(name, best.get(key, name))
+    known = ", ".join(f"('{d}', {n}, '{name}')" for (d, n), name in sorted(best.items()))
     cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SPELLINGS.items())
-    return f"sha256(array_to_string(list_transform({words}, lambda x: CASE x {cases} ELSE x END), ' '))"
-
-
-_TEXTS = ", ".join("('" + n + "', '" + t.replace("'", "''") + "')" for n, t in KNOWN)
-ORACLE_SQL = f"""
-WITH k0 AS (SELECT name, {_canonical_sql("text")} AS w FROM (VALUES {_TEXTS}) t(name, text)),
-k AS (SELECT {_digest_sql("w")} AS d, len(w) AS n, min(name) AS name FROM k0 GROUP BY 1, 2),
-t AS (SELECT doc_id, {_canonical_sql("coalesce(text, '')")} AS w FROM documents),
-l0 AS (SELECT doc_id, {_canonical_sql("line")} AS w FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
-l AS (SELECT doc_id, string_agg(DISTINCT k.name, ',' ORDER BY k.name) AS found FROM l0 JOIN k ON len(w) = n AND {_digest_sql("w")} = d GROUP BY 1),
-c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS canonical_words, CASE WHEN len(w) IN (SELECT n FROM k) THEN {_digest_sql("w")} END AS canonical_sha256 FROM t)
-SELECT c.doc_id, canonical_words, canonical_sha256, k.name AS licence, coalesce(l.found, '') AS line_licences FROM c LEFT JOIN k ON d = canonical_sha256 LEFT JOIN l USING (doc_id)
+    breaks = BREAKS.replace("\\s", " \\t\\n\\x0B\\f\\r").replace("'", "''")
+    stated = r"""(regexp_matches({0}, '^copyright[ \t:]*(\(c\)|©|\(?[12][0-9]|[\[<{{])') AND regexp_matches({0}, '^copyright[ \t:]*(\(c\)|©|\(?[12][0-9]{{3}}|[\[<{{])') OR regexp_matches({0}, '^copyright[ \t:]+\pL') AND NOT regexp_matches({0}, '^copyright[ \t:]+PROSE'))""".replace("PROSE", _PROSE)
+    gone = f"starts_with(b, '©') OR starts_with(b, 'all rights reserved') OR {stated.format('b')} OR starts_with(b, '(c)') AND (regexp_matches(c, '^([12][0-9]{{3}}|©|[\\[<{{])') OR {stated.format('c')})"
+    return f"""
+WITH k(d, n, name) AS (VALUES {known}),
+l0 AS (SELECT doc_id, rn, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT doc_id, row_number() OVER () AS rn, string_split(regexp_replace(lower(coalesce(text, '')), '([\\pL\\pN])-\\r?\\n[ \\t]*', '\\1', 'g'), chr(10)) AS ls FROM documents)),
+l1 AS (SELECT *, regexp_replace(line, '^[ \\t>*#/;-]+', '') AS b FROM l0),
+l2 AS (SELECT *, regexp_replace(substr(b, 4), '^[ \\t]+', '') AS c FROM l1),
+l3 AS (SELECT doc_id, rn, i, CASE WHEN {gone} THEN [] ELSE list_filter(regexp_split_to_array(replace(line, '-', ''), '{breaks}'), lambda x: x <> '') END AS w FROM l2),
+l4 AS (SELECT doc_id, rn, i, list_transform(w, lambda x: CASE x {cases} ELSE x END) AS w FROM l3),
+f AS (SELECT rn, string_agg(DISTINCT k.name, ',' ORDER BY k.name) AS found FROM l4 JOIN k ON len(w) = n AND sha256(array_to_string(w, ' ')) = d GROUP BY 1),
+t AS (SELECT doc_id, rn, flatten(list(w ORDER BY i)) AS w FROM l4 GROUP BY 1, 2),
+c AS (SELECT doc_id, rn, CAST(len(w) AS BIGINT) AS canonical_words, CASE WHEN len(w) IN (SELECT n FROM k) THEN sha256(array_to_string(w, ' ')) END AS canonical_sha256 FROM t)
+SELECT c.doc_id, canonical_words, canonical_sha256, k.name AS licence, coalesce(f.found, '') AS line_licences FROM c LEFT JOIN k ON d = canonical_sha256 LEFT JOIN f USING (rn)
 """
+
+
+ORACLE_SQL = _oracle_sql()

@@ -278,6 +278,29 @@ def test_licences_wrapped(spark, width):
     assert {r.doc_id: r.licence for r in got} == {i: i.split()[0] for i, _ in rows}
 
 
+def test_licences_at_every_width(spark):
+    """Every known text up to 4,000 characters, wrapped at each width, by both canonical forms; only a statement of a copyright that is part of a text may not be cut."""
+    rows = []
+    for n, (name, text) in enumerate(licences.standard_texts()):
+        if len(text) < 4000 and not name.endswith("-UC"):
+            for w in range(40, 101, 1 if n < len(licences.KNOWN) else 7):
+                rows.append((f"{n} {w}", "\n".join(textwrap.fill(x, w, break_long_words=False) for x in text.split("\n")), name))
+    got = {r.doc_id: (r.licence, r.canonical_words, r.canonical_sha256) for r in licences.licence_scan(spark.createDataFrame([r[:2] for r in rows], "doc_id string, text string").repartition(8)).collect()}
+    for i, text, name in rows:
+        w = licences.plain_words(text)
+        assert got[i] == (name, len(w), hashlib.sha256(" ".join(w).encode()).hexdigest()), i
+
+
+def test_licences_from_a_large_table(spark, docs, none, monkeypatch):
+    """The joins give the rows of the literal look-up."""
+    known = spark.createDataFrame([*licences.standard_texts(), ("Own-1.0", "our own notice"), ("Empty", "")], "name string, text string")
+    rows = spark.createDataFrame([(1, licences.KNOWN[0][1]), (1, licences.KNOWN[0][1]), (2, "Our own notice."), (3, "x\nour OWN notice\n" + licences.KNOWN[-1][1]), (4, None), (None, "our own notice")], "doc_id long, text string")
+    plain = sorted(map(str, licences.licence_scan(rows, known=known).collect()))
+    monkeypatch.setattr(licences, "MAX_KNOWN", 5)
+    assert sorted(map(str, licences.licence_scan(rows, known=known).collect())) == plain and sum("Own-1.0" in r for r in plain) == 3
+    assert licences.licence_scan(docs, known=known).count() == len(TEXTS) and licences.licence_scan(none, known=known).count() == 0
+
+
 def test_licences_entire_texts(spark):
     """Entire texts with and without appendix, and short licences under their titles."""
     full = {p.stem: p.read_text("utf-8") for p in licences.TEXTS.glob("*.txt")}
