@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -52,9 +53,23 @@ def _shuffles_end(spark: SparkSession):
         spark.conf.unset(_CLEANUP) if was is None else spark.conf.set(_CLEANUP, was)
 
 
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_ROWS`` rows, unless the session has a setting of its own.
+
+    Texts are long: the default of 10,000 rows is tens of megabytes a batch, several times over, outside of the heap
+    and in each worker, and what is once allocated there stays.
+    """
+    if spark.conf.get(BATCH, "10000") == "10000":
+        spark.conf.set(BATCH, str(BATCH_ROWS))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and the table survives lost executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    small_batches(spark)
     with _shuffles_end(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -62,6 +77,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Free what ended jobs broadcast.
+
+    Their relations stay in the executors' memory until the driver's JVM collects its garbage, which a mostly idle
+    driver does when it needs memory itself, not when they do. An operator of many jobs asks for it at its end.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that nothing reads any more."""
     for t in tables:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, spread_join
+from .common import discard, materialise, release, spread_join
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
@@ -36,4 +36,5 @@ def components(edges: DataFrame) -> DataFrame:
         was, now = now, materialise(small.distinct(), "edges")
         discard(was)
         new = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+    release(edges.sparkSession)
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select(F.col("v"), F.col("v")).distinct())

@@ -48,13 +48,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, spread_join, table, text_of
+from .common import materialise, release, spread_join, table, text_of
 from .components import components
 
 WORDS, PERCENT = 3, 90
 BAND = 1.5
 #: Shingles of a tile's chunk, and keys that a task holds before it sends them.
-TILE, HELD = 1_000_000, 1_000_000
+TILE, HELD = 1_000_000, 500_000
 #: Entries of a key's list beyond one more than this are known to be shared where they are made, and skip its exchange.
 LONG = 1
 #: Entries of short lists that are merged by a heap; more are merged by counting.
@@ -180,7 +180,7 @@ def _map(words: int, percent: int, buckets: int):
         keys: list[np.ndarray] = []
         nodes: list[np.ndarray] = []
         held, seen = 0, {}
-        for b in batches:
+        for b in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
             id_type = b.schema.field(0).type
             ns, digests, own, needs = [], [], [], []
             for text in b.column(1).to_pylist():
@@ -406,7 +406,7 @@ def _tile(percent: int):
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
             at, sets = [], []
             for row, (text, digest) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
                 s = shingle_set(text, words)
@@ -446,6 +446,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lowest = linked.groupBy("label").agg(F.min("low").alias("component"), F.count("*").alias("rows"))
     named = spread_join(linked, lowest, "label", "rows", total, ["digest"]).select("digest", "copies", F.col("found.component").alias("component"))
     known = materialise(named.join(links, "digest", "left").select("digest", "copies", "component", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "jaccard-known")
+    release(spark)
     out = spread_join(features, known, "digest", "copies", total, ["id"]).select("id", "n", "digest", F.col("found.component").alias("component_id"), F.col("found.n_links").alias("n_links"))
     alone = F.col("digest").isNull()
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jaccard_join, language_id, packing, rule_quality
-from .common import materialise, table
+from .common import release, table, text_of
 
 #: A text whose leading language has a smaller share has no language of its own.
 LEAST_SHARE = 0.4
@@ -28,6 +28,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     A model that learned nothing (no row has a lang, or none of those a letter) can't tell: all rows stay.
     """
+    release(spark)
     model = language_id.train(docs)
     if not model.learned:
         return docs
@@ -41,6 +42,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A model that learned nothing (no label meets a row, or those of one class only, or
     no rule tells the classes apart) gives every row one score: all rows stay.
     """
+    release(spark)
     model = rule_quality.train(docs, table(spark, sf_dir, "labels"))
     if not model.rules:
         return docs
@@ -50,16 +52,22 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked texts, that with the smallest id; texts without words stay.
 
-    A row is known by its id and its place, which is written with the row first: so both
-    passes read the same places, whatever ``docs`` is. Rows without id come last in their group.
+    A row is known by its id and the digest of its text, whatever ``docs`` is read from
+    and however often; of rows equal in both, which are linked, one stays. Such rows meet
+    before the exchange, so not even a third of all rows alike is a hot key. Rows without
+    id come last in their group, in order of their digests.
     """
-    placed = materialise(docs.select(whole_row(docs), F.monotonically_increasing_id().alias("place")), "placed")
-    key = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("id"), "place").alias("key")
-    found = jaccard_join.jaccard_components(placed.select(key, F.col("row.text").alias("text")), "key", "text", NEAR_WORDS, NEAR_PERCENT)
-    kept = found.where(F.col("component_id") == F.col("key")).select(F.col("key.place").alias("place"))
-    return placed.join(kept, "place", "left_semi").select("row.*")
+    rows = docs.select(whole_row(docs), text_of("text").alias("text"), F.col("doc_id").alias("id"))
+    key = F.struct(F.col("id").isNull().alias("none"), "id", F.unhex(F.md5("text")).alias("digest")).alias("key")
+    worded = F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))
+    keyed = rows.where(worded).select("row", "text", key)
+    found = jaccard_join.jaccard_components(keyed.select("key", "text"), "key", "text", NEAR_WORDS, NEAR_PERCENT)
+    kept = found.where(F.col("component_id") == F.col("key")).select("key").distinct()
+    once = keyed.groupBy("key").agg(F.first("row").alias("row"))
+    return once.join(kept, "key", "left_semi").select("row.*").unionByName(rows.where(~worded).select("row.*"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2,048 tokens and their places in sequences."""
+    release(spark)
     return packing.pack(docs)
