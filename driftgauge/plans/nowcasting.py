@@ -273,6 +273,8 @@ def backtest(scheduled: DataFrame, target: str, names: list[str], methods: list,
     blocks = vintages.select("vintage").distinct().select("vintage", F.floor((F.row_number().over(order) - 1) / refit_every).alias("_block"))
     cells = cells.join(blocks, "vintage")
 
+    names_of = [c.split()[0] for c in TABLE.split(", ")]
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out, kept, last = [], {}, {}
         for vintage in sorted(pdf["vintage"].unique()):
@@ -293,8 +295,9 @@ def backtest(scheduled: DataFrame, target: str, names: list[str], methods: list,
                 f = f.rename(columns={"out_of_sample": "forecast"}).assign(model=label, vintage=vintage, horizon=np.arange(1, len(f) + 1), previous=float(seen.iloc[-1]) if len(seen) else np.nan)
                 f["before"] = [last.get((label, p), np.nan) for p in f["period"]]
                 last.update({(label, p): v for p, v in zip(f["period"], f["forecast"])})
-                out.append(f[[c.split()[0] for c in TABLE.split(", ")]])
-        return pd.concat(out)
+                if len(f):
+                    out.append(f[names_of])
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in names_of})
 
     f = _clean(cells.groupBy("_block").applyInPandas(run, TABLE))
     actual = scheduled.where(F.col("series") == target).select("period", F.col("value").alias("actual"), F.col("release_date").alias("_released"))

@@ -79,7 +79,7 @@ def quarterly_target_methods(spark, sf):
 
 
 @query(_GROWTH + """, z AS (SELECT vintage, s.series, s.period, s.value FROM sched s JOIN v ON s.period <= vintage AND released <= vintage WHERE s.value IS NOT NULL)
-SELECT vintage, count(*) AS n_known, TRUE AS converged, CAST(0 AS BIGINT) AS n_decreases, 0.0 AS gap FROM z GROUP BY 1""")
+SELECT vintage, count(*) AS n_known, TRUE AS converged, CAST(0 AS BIGINT) AS n_decreases, CAST(0 AS DOUBLE) AS gap FROM z GROUP BY 1""")
 def em_identities(spark, sf):
     """At every vintage a mixed-frequency model's log-likelihood never falls and settles, and estimates are the weighted sum of the data."""
     sched = V.schedule(T.apply(D.panel(spark, sf), "pct"), D.delays(spark))
@@ -106,7 +106,7 @@ def em_identities(spark, sf):
 
 @query("""+ a AS (SELECT series, period, arg_max_null(value, vintage) AS v FROM store WHERE vintage <= DATE '1999-06-15' GROUP BY 1, 2), b AS (SELECT series, period, arg_max_null(value, vintage) AS v FROM store WHERE vintage <= DATE '1999-09-15' GROUP BY 1, 2),
 m AS (SELECT period FROM (SELECT period FROM a UNION SELECT period FROM b) QUALIFY period < max(period) OVER ())
-SELECT count(*) FILTER (WHERE a.v IS NULL AND b.v IS NOT NULL) AS n_news, count(*) FILTER (WHERE a.v <> b.v) AS n_revised, 0.0 AS gap FROM b JOIN m USING (period) LEFT JOIN a USING (series, period)""")
+SELECT count(*) FILTER (WHERE a.v IS NULL AND b.v IS NOT NULL) AS n_news, count(*) FILTER (WHERE a.v <> b.v) AS n_revised, CAST(0 AS DOUBLE) AS gap FROM b JOIN m USING (period) LEFT JOIN a USING (series, period)""")
 def news_identity(spark, sf):
     """Releases and revisions between two vintages, and what the decomposition leaves unexplained."""
     from .queries_models import _news, _two_vintages
