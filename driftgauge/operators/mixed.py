@@ -15,6 +15,7 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 
 from ..functions.calendar import growth_weights
+from . import separable
 from .factors import standardised, var_ols
 from .robust import fill_spline
 from .statespace import Moments, StateSpace, companion, signal_mean, signal_variance, smoothed_moments, stationary_cov
@@ -330,14 +331,23 @@ def fit(x: np.ndarray, n_factors: int | list[int] = 1, factor_lags: int = 1, qua
     p = start or start_parameters(z, layout)
     path: list[float] = []
     converged = False
+    eliminate = separable.applies(layout, len(z))
     while True:
-        model = state_space(p, layout, len(z))
-        s = smoothed_moments(model, z)
-        path.append(s.loglik)
+        moments = None
+        if eliminate:
+            try:
+                loglik, following = separable.iteration(z, layout, p)
+            except np.linalg.LinAlgError:  # shocks without full rank
+                eliminate = False
+        if not eliminate:
+            moments = smoothed_moments(state_space(p, layout, len(z)), z)
+            loglik = moments.loglik
+        path.append(loglik)
         converged = len(path) > 1 and abs(path[-1] - path[-2]) / ((abs(path[-1]) + abs(path[-2])) / 2 + 1e-12) < tolerance
         if converged or len(path) > max_iter:
-            return Results(layout, p, model, s, mean, std, z, path, converged)  # states of the model returned
-        p = m_step(z, layout, p, s)
+            model = state_space(p, layout, len(z))
+            return Results(layout, p, model, moments or smoothed_moments(model, z), mean, std, z, path, converged)  # states of the model returned
+        p = m_step(z, layout, p, moments) if moments else following
 
 
 def week_weights(weeks_of: list[int], n_lags: int = 5) -> np.ndarray:

@@ -15,6 +15,7 @@ from driftgauge.operators import factors as X
 from driftgauge.operators import mixed as M
 from driftgauge.operators import robust as R
 from driftgauge.operators import selection as S
+from driftgauge.operators import separable
 from driftgauge.operators import statespace as K
 from driftgauge.operators import vintages as V
 from driftgauge.operators.panel import literal
@@ -429,3 +430,53 @@ def test_long_gaps_are_filled(spark):
                 near = [v[s] for s in range(max(0, t - w // 2), min(n, t + (w - 1) // 2 + 1)) if v[s] is not None]
                 want, w = (float(np.median(near)) if near else None), w + 2
             assert math.isclose(got[t], want), (window, t)
+
+
+@pytest.mark.parametrize("r, lags, blocks", [(1, 1, False), (2, 2, False), (1, 2, True)])
+def test_elimination_equals_the_recursion(r, lags, blocks):
+    """Log-likelihood and every parameter after an iteration, with quarterly series, gaps, ragged ends and two blocks."""
+    rng = np.random.default_rng(3)
+    f = np.zeros((60, 2))
+    for t in range(1, 60):
+        f[t] = 0.7 * f[t - 1] + rng.standard_normal(2)
+    x = f @ rng.standard_normal((2, 8)) + rng.standard_normal((60, 8))
+    quarterly = np.arange(8) >= 6
+    x[np.ix_(np.arange(60) % 3 != 2, quarterly)] = np.nan
+    x[-2:, :2], x[-1, 3], x[10, 1], x[:5, 4] = np.nan, np.nan, np.nan, np.nan
+    z = M.standardised(x)[0]
+    which = np.ones((8, 2 if blocks else 1), bool)
+    which[4:, 1:] = False
+    layout = M.Layout(M.quarterly_weights(quarterly), which, [r] * which.shape[1], lags)
+    p = M.start_parameters(z, layout)
+    for _ in range(2):
+        loglik, got = separable.iteration(z, layout, p)
+        s = M.smoothed_moments(M.state_space(p, layout), z)
+        want = M.m_step(z, layout, p, s)
+        assert abs(loglik - s.loglik) < 1e-5
+        for a, b in zip([got.own_ar, got.own_var, *got.loadings, *got.transition, *got.shocks], [want.own_ar, want.own_var, *want.loadings, *want.transition, *want.shocks]):
+            assert np.allclose(a, b, atol=1e-8)
+        p = want
+
+
+def test_inverse_of_a_stationary_covariance():
+    rng = np.random.default_rng(0)
+    rho = rng.uniform(-0.9, 0.9, 5)
+    column = rho[:, None] ** np.arange(12)
+    column[:, 0] += 0.3
+    inverse, logdet = separable.toeplitz_inverse(column)
+    for c, i, d in zip(column, inverse, logdet):
+        R = c[np.abs(np.subtract.outer(np.arange(12), np.arange(12)))]
+        assert np.allclose(i @ R, np.eye(12)) and np.isclose(d, np.linalg.slogdet(R)[1])
+
+
+def test_singular_shocks_go_back_to_the_recursion(panel, monkeypatch):
+    """A fit by elimination equals one by the recursion, which takes over where a covariance is singular."""
+    monkeypatch.setattr(separable, "applies", lambda *_: True)
+    quick = M.fit(panel[0], 1, 1, QUARTERLY, max_iter=5)
+
+    def fails(*_):
+        raise np.linalg.LinAlgError
+
+    monkeypatch.setattr(separable, "iteration", fails)
+    plain = M.fit(panel[0], 1, 1, QUARTERLY, max_iter=5)
+    assert np.allclose(quick.path, plain.path, rtol=1e-8) and np.allclose(quick.moments.a, plain.moments.a, atol=1e-6)
