@@ -98,6 +98,8 @@ class _Own:
         self.regular = len(step) == 0 or bool((step == step[0]).all())
         self.rows = np.zeros((len(self.at), n_t + layout.lags - 1))  # path -> aggregates
         self.first = self.at + layout.lags - 1
+        whole = len(self.at) and self.at[-1] - self.at[0] + 1 == len(self.at)
+        self.run = slice(int(self.first[0]), int(self.first[-1]) + 1) if whole else None
         for j, w in enumerate(self.w):
             self.rows[np.arange(len(self.at)), self.at + layout.lags - 1 - j] = w
 
@@ -108,14 +110,25 @@ class _Own:
         """Covariances of the path -> of its aggregates in the cells."""
         if len(self.w) > 1:
             return self.rows @ S @ self.rows.T
-        return self.w[0] ** 2 * S[np.ix_(self.first, self.first)]
+        return self.w[0] ** 2 * (S[self.run, self.run] if self.run else S[np.ix_(self.first, self.first)])
 
-    def lift(self, inverse: np.ndarray) -> np.ndarray:
-        """What the cells' precision says of the path."""
+    def add_to(self, K: np.ndarray, factor: float) -> None:
+        """Adds what the cells say of the path, times ``factor``, to its precision."""
         if len(self.w) > 1:
-            return self.rows.T @ inverse @ self.rows
-        out = np.zeros((self.rows.shape[1],) * 2)
-        out[np.ix_(self.first, self.first)] = self.w[0] ** 2 * inverse
+            K += factor * (self.rows.T @ self.inverse @ self.rows)
+        elif self.run:
+            K[self.run, self.run] += factor * self.w[0] ** 2 * self.inverse
+        else:
+            K[np.ix_(self.first, self.first)] += factor * self.w[0] ** 2 * self.inverse
+
+    def gain(self, to: np.ndarray) -> np.ndarray:
+        """What a cell's residual says of the own term in each period; ``to`` are their covariances."""
+        if len(self.w) > 1:
+            return to @ self.inverse
+        out = np.empty_like(to)
+        out[self.at] = (np.eye(len(self.at)) - self.noise * self.inverse) / self.w[0]
+        unseen = np.setdiff1d(np.arange(len(to)), self.at)
+        out[unseen] = to[unseen] @ self.inverse
         return out
 
 
@@ -149,11 +162,10 @@ def iteration(z: np.ndarray, layout: Layout, p: Parameters) -> tuple[float, Para
     for o in own:
         Ry = o.inverse @ o.y
         loglik -= 0.5 * (len(o.y) * LOG_2PI + o.logdet + o.y @ Ry)
-        part = o.lift(o.inverse)
         for c, x in zip(o.columns, o.load):
             b[c] += x * (Ry @ o.rows)
             for d, v in zip(o.columns, o.load):
-                K[c, :, d, :] += x * v * part
+                o.add_to(K[c, :, d, :], x * v)
     K = K.reshape(R * n_s, R * n_s)
     half = np.linalg.cholesky((K + K.T) / 2)
     half_inverse = np.linalg.inv(half)
@@ -192,7 +204,7 @@ def _maximise(n_t: int, layout: Layout, p: Parameters, own: list[_Own], f: np.nd
             for v, m in zip(o.load, row):
                 B += u * v * m
         to = o.to[periods[:, None] - o.at[None, :] + n_t - 1]
-        gain = to @ o.inverse
+        gain = o.gain(to)
         e, spread = gain @ rest, gain @ B - to
         same = o.gamma[0] + (spread * gain).sum(1) + e * e
         next_to = o.gamma[1] + (spread[1:] * gain[:-1]).sum(1) + e[1:] * e[:-1]
