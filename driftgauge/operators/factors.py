@@ -21,7 +21,7 @@ def principal_components(x: np.ndarray, r: int) -> tuple[np.ndarray, np.ndarray]
 def bai_ng(x: np.ndarray, rmax: int = 8) -> list[dict]:
     """Residual variance and the criteria IC1-3 and PC1-3 for 0 to rmax factors."""
     t, n = x.shape
-    s2 = np.linalg.svd(x, compute_uv=False) ** 2 / (n * t)
+    s2 = np.maximum(np.linalg.eigvalsh(x.T @ x if n < t else x @ x.T)[::-1], 0) / (n * t)
     v = [float(s2[r:].sum()) for r in range(rmax + 1)]
     c = min(n, t)
     g = [(n + t) / (n * t) * np.log(n * t / (n + t)), (n + t) / (n * t) * np.log(c), np.log(c) / c]
@@ -89,8 +89,7 @@ def two_step(x: np.ndarray, r: int = 2, p: int = 1, q: int | None = None, floor:
     Q[:r, :r] = B @ B.T
     Z = np.hstack([L, np.zeros((len(L), r * (p - 1)))])
     model = StateSpace(Z, T, Q, idio, np.zeros(r * p), stationary_cov(T, Q + 1e-8 * np.eye(len(Q))))
-    a, _, _, _ = smooth(model, z)
-    return TwoStep(mean, std, L, model, a[:, :r])
+    return TwoStep(mean, std, L, model, smoothed_moments(model, z).a[:, :r])
 
 
 def em_dfm(x: np.ndarray, r: int = 1, p: int = 1, quarterly: np.ndarray | None = None, rounds: int = 500, tolerance: float = 1e-4) -> tuple[StateSpace, np.ndarray, list[float], np.ndarray, np.ndarray]:

@@ -74,7 +74,7 @@ class Nowcaster(Params):
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             wide, quarterly = _wide(pdf, y, xs, self.horizon)
-            e = estimate_block(wide.to_numpy(float), np.array([p.month for p in wide.index]), self.method, quarterly, **self._options())
+            e = estimate_block(wide.to_numpy(float), np.array([p.month for p in wide.index]), self.method, quarterly, names=list(wide.columns), **self._options())
             return pd.DataFrame({"block": [pdf["block"].iloc[0]], "model": [None if e.model is None else pickle.dumps(e.model)], "note": [e.note]})
 
         return blocks.where(F.col("series").isin(y, *xs)).groupBy("block").applyInPandas(run, MODELS)
@@ -88,7 +88,7 @@ class Nowcaster(Params):
                 return pd.DataFrame({c.split()[0]: [] for c in ESTIMATES.split(", ")})
             model = pickle.loads(fitted["model"].iloc[0]) if len(fitted) and fitted["model"].iloc[0] is not None else None
             wide, quarterly = _wide(pdf, y, xs, self.horizon)
-            e = estimate_block(wide.to_numpy(float), np.array([p.month for p in wide.index]), self.method, quarterly, fitted=model, **self._options())
+            e = estimate_block(wide.to_numpy(float), np.array([p.month for p in wide.index]), self.method, quarterly, names=list(wide.columns), fitted=model, **self._options())
             return _frame(wide, quarterly, y, e).assign(block=key[0])[[c.split()[0] for c in ESTIMATES.split(", ")]]
 
         own = blocks.where(F.col("series").isin(y, *xs))

@@ -61,8 +61,12 @@ def estimate(x: np.ndarray, method: str, n_factors: int = 1, lags: int = 1, hori
     return estimate_block(np.vstack([x, np.full((horizon, x.shape[1]), np.nan)]), months, method, q, n_factors=n_factors, lags=lags).values
 
 
-def estimate_block(x: np.ndarray, months: np.ndarray, method: str, quarterly: np.ndarray, n_factors: int = 1, lags: int = 1, max_iter: int = 500, tolerance: float = 1e-4, idiosyncratic: str = "white", fitted: object = None) -> Estimate:
-    """Estimate column 0 of a block on all its rows; ``months`` are those of the rows, 1 to 12 or running. ``fitted``: a model whose parameters are kept."""
+def estimate_block(x: np.ndarray, months: np.ndarray, method: str, quarterly: np.ndarray, n_factors: int = 1, lags: int = 1, max_iter: int = 500, tolerance: float = 1e-4, idiosyncratic: str = "white", names: list[str] | None = None, blocks: dict[str, list[str]] | None = None, trends: tuple[str, ...] = (), fitted: object = None) -> Estimate:
+    """Estimate column 0 of a block on all its rows; ``months`` are those of the rows, 1 to 12 or running. ``fitted``: a model whose parameters are kept.
+
+    For ``em``, ``blocks`` are the groups of series that have factors of their own (a series may be in several) and ``trends``
+    the series with a slow mean; both go by ``names``, those of the columns. Series that aren't used are left out of them.
+    """
     from ..operators import mixed
 
     if method not in METHODS:
@@ -76,10 +80,13 @@ def estimate_block(x: np.ndarray, months: np.ndarray, method: str, quarterly: np
     use[0] = True
     note = f"without {int((~use).sum())} series of fewer than {LEAST} values or no variation" if not use.all() else None
     x, quarterly = x[:, use], quarterly[use]
+    kept = [n for n, u in zip(names or map(str, range(len(use))), use) if u]
+    loads = np.array([[n in b for b in blocks.values()] for n in kept]) if blocks else np.ones((len(kept), 1), bool)
+    loads = loads[:, loads.any(0)]
     try:
         if method == "em":
             same = isinstance(fitted, mixed.Results) and fitted.layout.n == x.shape[1]
-            m = fitted.update(x) if same else mixed.fit(x, min(n_factors, x.shape[1]), lags, quarterly, idiosyncratic=idiosyncratic, max_iter=max_iter, tolerance=tolerance)
+            m = fitted.update(x) if same else mixed.fit(x, [min(n_factors, int(k)) for k in loads.sum(0)], lags, quarterly, loads, idiosyncratic, tuple(i for i, n in enumerate(kept) if n in trends), max_iter=max_iter, tolerance=tolerance)
             return Estimate(m.fitted()[:, 0], m.deviations()[:, 0], note, m)
         if method in ("ar", "rw", "mean"):
             return Estimate(_alone(x[:, 0], months, method, bool(quarterly[0]), lags), nothing, note)
@@ -91,6 +98,13 @@ def estimate_block(x: np.ndarray, months: np.ndarray, method: str, quarterly: np
         return Estimate(nothing, nothing, f"{method}: {e}")
 
 
+def _check_names(names: list[str], options: dict) -> None:
+    """Blocks and slow means name series that are there."""
+    unknown = {*options.get("trends", ()), *(n for b in (options.get("blocks") or {}).values() for n in b)} - {*names}
+    if unknown:
+        raise ValueError(f"blocks or trends name unknown series: {sorted(unknown)}")
+
+
 def _alone(y: np.ndarray, months: np.ndarray, method: str, quarterly: bool, lags: int) -> np.ndarray:
     """A univariate forecast at the series' own frequency, placed in its slots."""
     from ..operators import forecasters as B
@@ -190,10 +204,11 @@ def nowcast(panel: DataFrame, target: str, method: str = "em", vintage: str = "2
     """(vintage, period, observed, in_sample, out_of_sample, std, note) of the target, given by name or formula, in its own periods."""
     names = names or sorted(r["series"] for r in panel.select("series").distinct().collect())  # the names of one block's series
     y, xs = resolve(target, names)
+    _check_names([y, *xs], options)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         wide, quarterly = _wide(pdf, y, xs, horizon)
-        e = estimate_block(wide.to_numpy(float), np.array([p.month for p in wide.index]), method, quarterly, **options)
+        e = estimate_block(wide.to_numpy(float), np.array([p.month for p in wide.index]), method, quarterly, names=[y, *xs], **options)
         return _frame(wide, quarterly, y, e).assign(vintage=pdf["vintage"].iloc[0])[[c.split()[0] for c in SCHEMA.split(", ")]]
 
     rows = panel.where(F.col("series").isin(y, *xs)).select(F.lit(vintage).cast("date").alias("vintage"), "series", "period", "value")
@@ -267,6 +282,8 @@ def backtest(scheduled: DataFrame, target: str, names: list[str], methods: list,
     forecast of the period at the vintage before, within a group), note, actual, kind, days_to_end, days_to_release.
     """
     specs = [{"method": m} if isinstance(m, str) else dict(m) for m in methods]
+    for spec in specs:
+        _check_names([target, *names], {**options, **spec})
     cells = V.at_dates(scheduled.where(F.col("series").isin(target, *names)), vintages, lambda v: F.col("period") <= v)
     cells = V.release_mask(cells, F.col("vintage")).select("vintage", "series", "period", "value")
     order = Window.orderBy("vintage")  # of the vintages, not of their cells
@@ -288,7 +305,7 @@ def backtest(scheduled: DataFrame, target: str, names: list[str], methods: list,
                 without = set(spec.pop("without", ()))
                 cols = [c for c in wide.columns if c not in without]
                 at = [wide.columns.get_loc(c) for c in cols]
-                e = estimate_block(wide[cols].to_numpy(float), months, method, quarterly[at], fitted=kept.get(label), **spec)
+                e = estimate_block(wide[cols].to_numpy(float), months, method, quarterly[at], names=cols, fitted=kept.get(label), **spec)
                 kept[label] = e.model
                 f = _frame(wide[cols], quarterly[at], target, e)
                 f = f[f["observed"].isna() & (pd.PeriodIndex(pd.to_datetime(f["period"]), freq="M") > (seen.index[-1] if len(seen) else pd.Period("1000-01", "M")))].reset_index(drop=True)

@@ -353,6 +353,23 @@ def test_public_nowcast_of_a_quarterly_target(spark):
     assert bands.lower_90 < bands.lower_68 < bands.out_of_sample < bands.upper_68 < bands.upper_90
 
 
+def test_public_nowcast_with_blocks_and_slow_means(spark):
+    wide, _ = two_step_example(150, 6, 1, seed=4)
+    long = as_long(spark, wide)
+    groups = {"all": list(wide.columns), "own": ["x0", "x1", "x2"]}
+    got = {r.period: r for r in nowcasting.nowcast(long, "target", "em", blocks=groups, trends=["x3"], max_iter=5).collect()}
+    x = wide[["target", *sorted(c for c in wide.columns if c != "target")]]
+    loads = np.array([[True, c in groups["own"]] for c in x.columns])
+    ahead = np.vstack([x.to_numpy(float), np.full((3, 7), np.nan)])  # a quarter ahead
+    m = M.fit(ahead, [1, 1], 1, np.arange(7) == 0, loads, "white", (list(x.columns).index("x3"),), max_iter=5)
+    for t, p in enumerate(x.index):
+        if t % 3 == 2:
+            r = got[p.date()]
+            assert math.isclose(r.in_sample if r.observed is not None else r.out_of_sample, m.fitted()[t, 0], rel_tol=1e-9)
+    with pytest.raises(ValueError, match="unknown series"):
+        nowcasting.nowcast(long, "target", "em", blocks={"a": ["nobody"]})
+
+
 def test_backtests_keep_parameters_between_refits(spark):
     wide, _ = two_step_example(120, 4, 1, seed=4)
     long = as_long(spark, wide)
